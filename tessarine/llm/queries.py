@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
+from .op4_packing import op4_packing
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_packing": op4_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
