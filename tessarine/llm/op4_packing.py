@@ -34,8 +34,8 @@ from .words import default_path, encoder, slices
 WINDOW = 2048
 END_ID = 1
 PART = 512
-GROUP = 32
-SLACK = 6
+GROUP = 128
+SLACK = 12
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -85,14 +85,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def cut_points(n: int, window: int, part: int) -> list[int]:
-    """Starts of a text's pieces: whole windows, then parts of near-equal size."""
+    """Starts of a text's pieces: whole windows, then parts, the last one short.
+
+    Differencing evens the windows out with the short last parts.
+    """
     whole = n // window * window
-    starts = list(range(0, whole, window))
-    rest = n - whole
-    if rest:
-        m = -(-rest // part)
-        starts += [whole + rest * i // m for i in range(m)]
-    return starts
+    return list(range(0, whole, window)) + list(range(whole, n, part))
 
 
 def _pack(path: str, window: int, end: int, part: int, group: int, slack: int, keep_ids: bool):
