@@ -189,3 +189,46 @@ def runs(sorted_col: np.ndarray) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LEAN: list = []
+
+
+def lean(f):
+    """Wrap a worker generator so that memory it freed goes back to the system.
+
+    Large blocks are mapped one by one from the start, and what the allocators
+    still hold is returned when the task ends: idle workers stay small.
+    """
+
+    def run(batches):
+        if not _LEAN:
+            try:
+                import ctypes
+
+                libc = ctypes.CDLL("libc.so.6")
+                libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+                _LEAN.append(libc)
+            except (OSError, AttributeError):
+                _LEAN.append(None)
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LEAN and _LEAN[0] is not None:
+        _LEAN[0].malloc_trim(0)
+
+
+def text_slices(off: np.ndarray, size: int):
+    """Ranges of texts of about ``size`` bytes together."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
+        yield i, j
+        i = j

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
+from .op2_near_dedup import op2_near_dedup
 from .op4_packing import op4_packing
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op4_packing": op4_packing,
 }
 
