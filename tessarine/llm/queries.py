@@ -8,6 +8,7 @@ from .op2_near_dedup import op2_near_dedup
 from .op3_ann import op3_ann
 from .op4_packing import op4_packing
 from .op5_quality import op5_quality
+from .op6_lm import op6_lm
 from .op7_audio import op7_audio
 from .op10_url_filter import op10_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ann": op3_ann,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_lm": op6_lm,
     "op7_audio": op7_audio,
     "op9_chat": chat.op9_chat,
     "op10_url_filter": op10_url_filter,

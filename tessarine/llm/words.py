@@ -95,6 +95,7 @@ class WordEncoder:
         upto = np.r_[0, np.cumsum(size)]
         total = int(upto[-1])
         flat = self.ids.a[np.repeat(self.start.a[numbers] - upto[:-1], size) + np.arange(total)]
+        self.upto = upto  # ids before each word, for who asks
         word_at = np.r_[0, np.cumsum(counts)]
         off = upto[word_at]
         if end is None:
