@@ -10,6 +10,7 @@ from .op4_packing import op4_packing
 from .op5_quality import op5_quality
 from .op6_lm import op6_lm
 from .op7_audio import op7_audio
+from .op8_pieces import op8_pieces
 from .op10_url_filter import op10_url_filter
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_lm": op6_lm,
     "op7_audio": op7_audio,
+    "op8_pieces": op8_pieces,
     "op9_chat": chat.op9_chat,
     "op10_url_filter": op10_url_filter,
 }
