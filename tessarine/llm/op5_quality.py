@@ -3,14 +3,14 @@
 Overlapping heuristic labellers vote good, bad or nothing on every text; the
 human labels, where a table of them is given, are one labeller more that mostly
 abstains.  Expectation-maximisation estimates how often each labeller casts
-each vote on good and on bad texts and how common good ones are.  It needs only
+each vote, or none, on good and on bad texts and how common good ones are.  It needs only
 how many documents cast each pattern of votes: a count over *all* documents
 with at most 3**labellers rows, whatever the input's size.
 
 The posteriors of the patterns then label a bounded sample (the ``SAMPLE``
 documents with the smallest hashes of their ids; a documented parameter), which
-trains a logistic scorer over hashed words, word stems and binned text
-statistics.  The scorer judges every document; labels play no part in that.
+trains a logistic scorer over hashed words, word stems, binned text statistics
+and heuristic votes.  The scorer judges every document; labels play no part in that.
 There are two such heads: quality and toxicity.  A document is kept if its
 quality score is at least 1/2 and its toxicity score under 1/2.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, pack, ship, table, text_buffers, text_slices, unpack
+from .common import lean, materialize, mix64, pack, ship, table, text_buffers, text_slices, unpack
 from .shingles import word_bounds, word_hashes
 
 SAMPLE = 8000
@@ -141,8 +141,11 @@ def _features(data: np.ndarray, off: np.ndarray):
     stem = word_hashes(data, s, np.minimum(e, s + 4))
     bins = np.floor(np.sqrt(np.clip(stats, 0, 16)) * 20).astype(np.uint64)
     col = np.arange(stats.shape[1], dtype=np.uint64)
-    shape = mix64(mix64(bins * np.uint64(64) + col) + np.uint64(77)).ravel()
-    who = np.concatenate([doc, doc[e - s >= 4], np.repeat(np.arange(n), stats.shape[1])])
+    cast = votes(words, stats).astype(np.uint64)
+    said = mix64(cast * np.uint64(64) + np.arange(cast.shape[1], dtype=np.uint64) + np.uint64(1 << 20))
+    shape = np.concatenate([mix64(mix64(bins * np.uint64(64) + col) + np.uint64(77)), said], axis=1)
+    who = np.concatenate([doc, doc[e - s >= 4], np.repeat(np.arange(n), shape.shape[1])])
+    shape = shape.ravel()
     what = np.concatenate([mix64(bare + np.uint64(1)), mix64(stem[e - s >= 4] + np.uint64(2))])
     slot = np.concatenate([SHAPE + what % np.uint64(DIM - SHAPE), shape % np.uint64(SHAPE)]).astype(np.int64)
     key = np.unique(who.astype(np.int64) * DIM + slot)
@@ -183,13 +186,11 @@ def estimate(patterns: list[str], counts: np.ndarray, prior: float, trust: list[
     one = np.eye(3)[v]
     p_vote = np.empty((m, 2, 3))
     for j, t in enumerate(trust):
-        p_vote[j, 1], p_vote[j, 0] = [(1 - t) * 0.6, t * 0.6, 0.4], [t * 0.6, (1 - t) * 0.6, 0.4]
+        p_vote[j, 1], p_vote[j, 0] = [(1 - t) * 0.3, t * 0.3, 0.7], [t * 0.3, (1 - t) * 0.3, 0.7]
     share, post = prior, np.zeros(n)
     for _ in range(rounds):
         with np.errstate(divide="ignore"):
             log = np.log(p_vote)
-        # an abstention says nothing about the class
-        log[:, :, 2] = 0.0
         odds = np.log(share) - np.log(1 - share) + np.einsum("nmv,mv->n", one, log[:, 1] - log[:, 0])
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - post).max(initial=0) < 1e-9:
@@ -197,7 +198,7 @@ def estimate(patterns: list[str], counts: np.ndarray, prior: float, trust: list[
         post = new
         for c, w in ((1, counts * post), (0, counts * (1 - post))):
             p_vote[:, c] = np.einsum("n,nmv->mv", w, one) + 0.5
-            p_vote[:, c, :2] /= p_vote[:, c, :2].sum(axis=1, keepdims=True)
+            p_vote[:, c] /= p_vote[:, c].sum(axis=1, keepdims=True)
         share = float(np.clip((counts @ post) / counts.sum(), 0.01, 0.99))
     return post, p_vote, share
 
@@ -266,7 +267,7 @@ def train(df: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, s
         human = [F.when(F.col(c).isNull() | (F.col(c) == 0.5), "2").when(F.col(c) > 0.5, "1").otherwise("0") for c in ("q", "t")]
     else:
         human = [F.lit("2"), F.lit("2")]
-    cast = cast.select("id", F.concat("quality", human[0]).alias("quality"), F.concat("toxic", human[1]).alias("toxic"))
+    cast = materialize(cast.select("id", F.concat("quality", human[0]).alias("quality"), F.concat("toxic", human[1]).alias("toxic")), "votes")
     got = cast.groupBy("quality", "toxic").agg(F.count("*").alias("n")).collect()
     report: dict = {}
     post: dict[str, dict[str, float]] = {}
@@ -280,7 +281,8 @@ def train(df: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, s
             continue
         p, p_vote, share = estimate(pats, np.array([sums[x] for x in pats], float), prior, trust)
         post[head] = dict(zip(pats, p.tolist()))
-        report[head] = {"share": share, "accuracy": {n: (float(p_vote[i, 0, 0]), float(p_vote[i, 1, 1])) for i, n in enumerate(names)}}
+        said = p_vote[:, :, :2] / p_vote[:, :, :2].sum(axis=2, keepdims=True)  # of the votes that are cast
+        report[head] = {"share": share, "accuracy": {n: (float(said[i, 0, 0]), float(said[i, 1, 1])) for i, n in enumerate(names)}}
     # the sample: smallest hashes of the id
     picked = cast.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample)
     rows = base.join(F.broadcast(picked), "id").select("id", "text", "quality", "toxic").mapInArrow(lean(_sample_rows), "id long, quality string, toxic string, cell binary").toArrow()
