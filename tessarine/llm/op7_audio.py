@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,8 +224,6 @@ def transcode_column(df: DataFrame, media_col: str = "media", out_col: str = "pc
         except (ValueError, struct.error):
             return None
 
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def convert(s: pd.Series) -> pd.Series:
         return s.map(one)

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -294,8 +295,6 @@ def decode_column(df: DataFrame, ids_col: str = "piece_ids", out_col: str = "dec
     """``df`` with the text that ids stand for; null ids give null."""
     ship(df.sparkSession)
     path = model or default_path("piece_bpe_32k.model")
-    import pandas as pd
-
     @F.pandas_udf("string")
     def back(s: pd.Series) -> pd.Series:
         fst = unit_encoder(path).fst
