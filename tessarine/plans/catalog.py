@@ -2,5 +2,315 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import graph as G
+from ..operators import lines as L
+from ..operators import rank as R
+from ..runtime import materialize, table
+from ..streaming import incremental as I
+
+_IDENT = "[A-Za-z_][A-Za-z0-9_]*"
+
+
+def _tok(source: str, key: str, col: str = "text", name: str = "") -> str:
+    """CTEs ids, sp, tok(key, term) with all code tokens of a table."""
+    return rf"""{name}ids AS (SELECT {key}, unnest(regexp_extract_all(coalesce({col}, ''), '{_IDENT}')) AS w FROM {source}),
+{name}sp AS (SELECT {key}, w, list_filter(string_split(regexp_replace(regexp_replace(replace(w, '_', ' '), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '), lambda x: x <> '') AS parts FROM {name}ids),
+{name}tok AS (SELECT {key}, lower(w) AS term FROM {name}sp UNION ALL SELECT {key}, lower(unnest(parts)) FROM {name}sp WHERE len(parts) > 1)"""
+
+
+_BM25 = f"""{_tok('documents', 'doc_id')},
+dl AS (SELECT d.doc_id, greatest(1, count(t.term)) AS dl FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY 1),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+{_tok('benchmark', 'item_id', 'text', 'q')},
+q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM qtok GROUP BY 1, 2),
+bm AS (SELECT query_id, tf.doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY 1, 2),
+rk AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM bm)"""
+_GRAPH = """e AS (
+  SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders
+  UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION SELECT 'r' || r_regionkey, 'n' || (r_regionkey * 5) FROM region)"""
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25(table(spark, d, "documents"), _queries(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_tok('documents', 'doc_id')} SELECT d.doc_id, count(t.term) AS n_tokens, count(DISTINCT t.term) AS n_terms FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY 1")
+def code_tokens_count(spark, d):
+    """Code tokens of every document."""
+    return table(spark, d, "documents").select("doc_id", T.code_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+@query(r"SELECT p_partkey, list_aggregate(list_transform(list_filter(string_split(regexp_replace(regexp_replace(replace(p_name || 'HTTPServer_x', '_', ' '), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '), lambda x: x <> ''), lambda x: lower(x)), 'string_agg', '|') AS parts FROM part")
+def split_identifier(spark, d):
+    """Parts of compound names."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.split_identifier(F.concat("p_name", F.lit("HTTPServer_x"))), "|").alias("parts"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, (length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS n_tokens FROM documents")
+def approx_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT doc_id, sha1(text) AS hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+
+
+@query(r"""SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^https?://[^/]+', ''), '\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|:[A-Za-z_]\w*', '*', 'g'), '^/+|/+$', '', 'g')) AS route FROM pages""")
+def normalize_path(spark, d):
+    return table(spark, d, "pages").select("page_id", T.normalize_path(F.col("url")).alias("route"))
+
+
+@query("SELECT page_id, list_aggregate(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.')), 'string_agg', '|') AS modules FROM (SELECT page_id, string_split(regexp_replace(url, '\\.[^./]*$', ''), '/') AS p FROM pages)".replace("\\\\", "\\"))
+def module_names(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(T.module_names(F.col("url")), "|").alias("modules"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') OR contains(lower(source), 'rc1')")
+def find_by_substring(spark, d):
+    return table(spark, d, "documents").where(F.lower("text").contains("tion") | F.lower("source").contains("rc1")).select("doc_id")
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM rk WHERE rank <= 10")
+def bm25_topk(spark, d):
+    """Ten best documents of every benchmark text."""
+    return R.top(_scores(spark, d), 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, score >= 0.5 * max(score) OVER (PARTITION BY query_id) AS strong_match FROM rk WHERE rank <= 5")
+def replication_check_topk(spark, d):
+    return R.strong_match(R.top(_scores(spark, d), 5)).select("query_id", "doc_id", "score", "strong_match")
+
+
+@query(
+    f"""WITH {_tok("(SELECT source AS doc_id, text FROM documents)", "doc_id")},
+dl AS (SELECT d.doc_id, greatest(1, count(t.term)) AS dl FROM (SELECT DISTINCT source AS doc_id FROM documents) d LEFT JOIN tok t USING (doc_id) GROUP BY 1),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+{_tok("benchmark", "item_id", "text", "q")}, q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM qtok GROUP BY 1, 2),
+bm AS (SELECT query_id, tf.doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY 1, 2)
+SELECT query_id, doc_id AS source, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 4"""
+)
+def stage1_sources(spark, d):
+    """Coarse stage: documents' tokens pooled by source."""
+    docs = table(spark, d, "documents")
+    toks = docs.select(F.col("source").alias("doc_id"), F.explode(T.code_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = materialize(toks, "postings")
+    dl = docs.select(F.col("source").alias("doc_id")).distinct().join(tf.groupBy("doc_id").agg(F.sum("tf").alias("s")), "doc_id", "left").select("doc_id", F.greatest(F.lit(1), F.coalesce("s", F.lit(0))).alias("dl"))
+    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    q = R.query_terms(_queries(spark, d))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    w = T.idf(F.col("n"), F.col("df")) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+    s = tf.join(q, "term").join(df, "term").join(dl, "doc_id").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * w), 6).alias("score"))
+    return R.top(s, 4).select("query_id", F.col("doc_id").alias("source"), "score")
+
+
+_DENSE = """u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u, label FROM embeddings),
+dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(range(1, len(q.u) + 1), lambda i: q.u[i] * d.u[i])), 6) AS score FROM u q CROSS JOIN u d WHERE q.vec_id % 50 = 0),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn)"""
+
+
+def _dense(spark, d):
+    e = table(spark, d, "embeddings")
+    return R.dense(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, rank, score FROM dr WHERE rank <= 10")
+def dense_topk(spark, d):
+    return R.top(_dense(spark, d), 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"""WITH {_DENSE}, rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+f AS (SELECT query_id, min(rank) AS r FROM dr JOIN rel USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1)
+SELECT count(*) AS n_queries, avg((r IS NOT NULL)::INT) AS hit_rate, round(avg(coalesce(1 / r, 0)), 9) AS mrr, avg(coalesce((r = 1)::INT, 0)) AS p_at_1 FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN f USING (query_id)""")
+def ir_metrics(spark, d):
+    """Vectors of the query's label count as relevant."""
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    rel = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id")
+    m = R.ir_metrics(R.top(_dense(spark, d), 5), rel)
+    return m.select("n_queries", "hit_rate", F.round("mrr", 9).alias("mrr"), "p_at_1")
+
+
+@query(f"""WITH {_BM25}, r2 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM bm),
+f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM rk UNION ALL SELECT * FROM r2) GROUP BY 1, 2)
+SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM f) WHERE k <= 10""")
+def rrf_fuse(spark, d):
+    """Two rankings of the same hits fused: by score, and by age."""
+    s = materialize(_scores(spark, d), "scores")
+    fused = R.rrf_fuse([R.ranked(s), R.ranked(s, -F.col("doc_id"))]).withColumn("score", F.round("score", 9))
+    return R.top(fused, 10).select("query_id", "doc_id", "score")
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, l, unnest(range(0, len(l), 40)) AS s FROM t)
+SELECT doc_id, 'L' || (s + 1) || '-' || least(s + 40, len(l)) AS name, s + 1 AS start_line, CAST(least(s + 40, len(l)) AS BIGINT) AS end_line, array_to_string(l[s + 1 : s + 40], chr(10)) AS source FROM s""")
+def segment_chunks(spark, d):
+    return L.segments(table(spark, d, "documents"))
+
+
+@query(f"""WITH {_tok('documents', 'doc_id')}, c AS (SELECT term, count(*) AS c FROM tok GROUP BY 1), st AS (SELECT sum(c) AS total, count(*) AS vocab FROM c),
+s AS (SELECT term, c, -ln((c + 1) / (total + vocab)) AS s FROM c CROSS JOIN st), m AS (SELECT sum(c * s) / sum(c) AS mean FROM s),
+p AS (SELECT doc_id, avg(s) AS a FROM tok JOIN s USING (term) GROUP BY 1)
+SELECT d.doc_id, round(coalesce(0.6 * (a - mean), 0), 6) + 0 AS score FROM documents d CROSS JOIN m LEFT JOIN p USING (doc_id)""")
+def surprisal_docs(spark, d):
+    return L.doc_surprisal(table(spark, d, "documents")).select("doc_id", (F.round("score", 6) + 0).alias("score"))
+
+
+@query("""SELECT conv_id, turn, cost, used FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, CAST(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS used FROM (SELECT conv_id, turn, CAST(greatest(1, (length(text) + 3) // 4) AS BIGINT) AS cost FROM conversations)) WHERE nth = 1 OR used <= 400""")
+def budget_prefix(spark, d):
+    return L.budget_prefix(table(spark, d, "conversations"), "conv_id", "turn", "text", 400).select("conv_id", "turn", "cost", "used")
+
+
+@query("SELECT 'file:' || conv_id AS src, 'contains' AS kind, conv_id || '::' || turn AS dst FROM conversations")
+def contains_edges(spark, d):
+    return table(spark, d, "conversations").select(F.concat(F.lit("file:"), "conv_id").alias("src"), F.lit("contains").alias("kind"), F.concat_ws("::", "conv_id", "turn").alias("dst"))
+
+
+@query("SELECT role AS kind, count(*) AS n, count(DISTINCT conv_id) AS files FROM conversations GROUP BY 1")
+def kind_counts(spark, d):
+    return table(spark, d, "conversations").groupBy(F.col("role").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("files"))
+
+
+@query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS href FROM pages")
+def href_edges(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).alias("href")).distinct()
+
+
+def _edges(spark, d) -> DataFrame:
+    def e(name, a, x, b, y):
+        return table(spark, d, name).select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), y if not isinstance(y, str) else F.col(y)).alias("dst"))
+
+    every = e("orders", "o", "o_orderkey", "c", "o_custkey").unionByName(e("customer", "c", "c_custkey", "n", "c_nationkey")).unionByName(e("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(e("nation", "n", "n_nationkey", "r", "n_regionkey")).unionByName(e("region", "r", "r_regionkey", "n", F.col("r_regionkey") * 5))
+    return every.distinct().select("src", F.lit("calls").alias("kind"), "dst")
+
+
+@query(f"WITH {_GRAPH} SELECT src, count(DISTINCT dst) AS degree FROM e GROUP BY 1")
+def out_degrees(spark, d):
+    return G.out_degrees(_edges(spark, d))
+
+
+@query(f"WITH {_GRAPH} SELECT dst AS id FROM e WHERE src = 'n3' UNION SELECT src FROM e WHERE dst = 'n3'")
+def neighbors(spark, d):
+    return G.neighbors(_edges(spark, d), "n3")
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT src AS id FROM e WHERE dst = 'r1'")
+def callers_of(spark, d):
+    return G.callers_of(_edges(spark, d), "r1")
+
+
+@query(f"WITH {_GRAPH} SELECT (SELECT count(DISTINCT src) FROM e) AS files, (SELECT count(*) FROM e) AS chunks, (SELECT count(*) FROM e) AS call_edges, 0 AS contains_edges")
+def graph_stats(spark, d):
+    e = _edges(spark, d)
+    return G.graph_stats(e.select(F.col("src").alias("file")), e)
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, t(seed, id) AS (SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier UNION SELECT seed, dst FROM t JOIN e ON id = src) SELECT seed, id FROM t")
+def transitive_closure(spark, d):
+    """All that every supplier reaches; nations and regions form cycles."""
+    seeds = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"))
+    return G.transitive_closure(_edges(spark, d), seeds)
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), t(root, id, hops) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT root, dst, hops + 1 FROM t JOIN b ON id = src WHERE hops < 2) SELECT root, id, min(hops) AS hops FROM t GROUP BY 1, 2")
+def bfs_subgraph(spark, d):
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"))
+    return G.bfs(_edges(spark, d), roots, 2)
+
+
+_PPR = f"""{_GRAPH}, dg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), nd AS (SELECT src AS id FROM e UNION SELECT dst FROM e), tp AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS e FROM nd),
+p(it, id, pr) AS (SELECT 0, id, e FROM tp UNION ALL SELECT it + 1, id, sum(x) FROM (
+  SELECT p.it, e.dst AS id, 0.85 * p.pr / deg AS x FROM p JOIN e ON p.id = e.src JOIN dg ON dg.src = e.src WHERE p.it < 8
+  UNION ALL SELECT p.it, tp.id, tp.e * 0.15 FROM p JOIN tp ON p.id = tp.id WHERE p.it < 8) GROUP BY it, id)"""
+
+
+@query(f"WITH RECURSIVE {_PPR} SELECT id, round(pr, 9) AS ppr FROM p WHERE it = 8")
+def pagerank(spark, d):
+    """Eight steps from everywhere; every node has a callee here, so no rank is lost."""
+    e = _edges(spark, d)
+    return G.personalized_pagerank(e, G.nodes_of(e).select("id", F.lit(1.0).alias("weight")), max_iter=8, tol=0.0).select("id", F.round("ppr", 9).alias("ppr"))
+
+
+@query(f"WITH RECURSIVE {_PPR} SELECT id, round(pr, 6) AS ppr FROM p WHERE it = 8 ORDER BY 2 DESC, 1 LIMIT 10")
+def central_nodes(spark, d):
+    e = _edges(spark, d)
+    return G.central(e, G.nodes_of(e), 10, max_iter=8, tol=0.0).select("id", F.round("ppr", 6).alias("ppr"))
+
+
+_SC = "sc AS (SELECT c_mktsegment AS query_id, 'c' || c_custkey AS doc_id, c_acctbal AS score FROM customer)"
+
+
+def _balances(spark, d):
+    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("doc_id"), F.col("c_acctbal").alias("score"))
+
+
+@query(f"""WITH {_GRAPH}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {_SC}, bo AS (SELECT query_id, dst AS doc_id, max(0.35 * score) AS bonus FROM sc JOIN b ON doc_id = src WHERE score > 0 GROUP BY 1, 2)
+SELECT query_id, doc_id, round(coalesce(score, 0) + coalesce(bonus, 0), 6) AS score FROM sc FULL JOIN bo USING (query_id, doc_id)""")
+def expand_scores(spark, d):
+    return R.expand(_balances(spark, d), _edges(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_SC}, cn AS (SELECT 'c' || c_custkey AS doc_id, c_nationkey / 100.0::DOUBLE AS ppr FROM customer WHERE c_custkey % 2 = 0), m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM sc)
+SELECT query_id, doc_id, round(CASE WHEN m > 0 THEN (0.9 * score / m + 0.1 * coalesce(ppr, 0) / (SELECT max(ppr) FROM cn)) * m ELSE score END, 6) AS score FROM m LEFT JOIN cn USING (doc_id)""")
+def boost_scores(spark, d):
+    central = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("doc_id"), (F.col("c_nationkey") / 100.0).alias("ppr"))
+    return R.boost(_balances(spark, d), central, 0.1).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_SC}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS base FROM sc),
+j AS (SELECT r.*, c_custkey % 7 AS ns FROM r JOIN customer ON doc_id = 'c' || c_custkey WHERE rank <= 20), k AS (SELECT *, min(ns) OVER (PARTITION BY query_id) AS lo, max(ns) OVER (PARTITION BY query_id) AS hi FROM j)
+SELECT query_id, doc_id, round(base * (1 + (ns - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 6) AS score FROM k UNION ALL SELECT query_id, doc_id, round(score, 6) FROM r WHERE rank > 20""")
+def rerank_scores(spark, d):
+    judged = table(spark, d, "customer").select(F.col("c_mktsegment").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("doc_id"), (F.col("c_custkey") % 7).alias("judge_score"))
+    return R.rerank(_balances(spark, d), judged).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BM25}, v AS (SELECT DISTINCT term FROM tok), rt AS (SELECT query_id, sum(CASE WHEN v.term IS NOT NULL THEN qtf ELSE 0 END) / sum(qtf) AS ratio FROM q LEFT JOIN v USING (term) GROUP BY 1),
+sd AS (SELECT query_id, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS dev FROM rk WHERE rank <= 10 GROUP BY 1),
+g AS (SELECT item_id AS query_id, least(0.2, greatest(0.02, (0.03 + 0.12 * (1 - coalesce(ratio, 0))) * CASE WHEN n > 1 AND mean > 0 THEN 0.8 + 0.4 * (1 - least(1, greatest(0.1, dev / mean))) ELSE 1 END)) AS gb FROM benchmark LEFT JOIN rt ON rt.query_id = item_id LEFT JOIN sd ON sd.query_id = item_id)
+SELECT query_id, round(gb, 6) AS graph_boost, round(0.8 * gb, 6) AS ppr_weight FROM g""")
+def auto_weights(spark, d):
+    docs = table(spark, d, "documents")
+    names = docs.select(F.explode(T.code_tokens(F.col("text"))).alias("term"))
+    return R.auto_weights(_queries(spark, d), names, _scores(spark, d)).select("query_id", F.round("graph_boost", 6).alias("graph_boost"), F.round("ppr_weight", 6).alias("ppr_weight"))
+
+
+_SNAP = """a AS (SELECT user_id AS path, epoch_us(max(ts)) AS mtime, CAST(count(*) AS BIGINT) AS size, sha1(CAST(min(event_id) AS VARCHAR)) AS hash FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1),
+b AS (SELECT user_id AS path, epoch_us(max(ts)) AS mtime, CAST(count(*) AS BIGINT) AS size, sha1(CAST(min(event_id) AS VARCHAR)) AS hash FROM events WHERE event_type <> 'error' GROUP BY 1)"""
+
+
+@query(f"""WITH {_SNAP} SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'pruned' WHEN a.path IS NULL THEN 'miss' WHEN a.mtime = b.mtime AND a.size = b.size THEN 'fast_hit' WHEN a.hash = b.hash THEN 'hash_hit' ELSE 'miss' END AS status FROM b FULL JOIN a ON a.path = b.path""")
+def incremental_classify(spark, d):
+    """Two snapshots of the users' activity."""
+
+    def snap(e):
+        return e.groupBy(F.col("user_id").alias("path")).agg(F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("mtime"), F.count("*").alias("size"), F.sha1(F.min("event_id").cast("string")).alias("hash"))
+
+    e = table(spark, d, "events")
+    return I.classify(snap(e.where("event_type <> 'error'")), snap(e.where("ts < timestamp'2024-01-15'")))
