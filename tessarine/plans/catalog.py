@@ -314,3 +314,73 @@ def incremental_classify(spark, d):
 
     e = table(spark, d, "events")
     return I.classify(snap(e.where("event_type <> 'error'")), snap(e.where("ts < timestamp'2024-01-15'")))
+
+
+# Operators below run Python per file, per group or per repository; SQL can't express them.
+
+
+@query()
+def html_chunks(spark, d):
+    """Landmarks, scripts and styles of every page."""
+    from ..sources.scan import chunk_texts
+
+    return chunk_texts(table(spark, d, "pages"), "page_id", "html", ".html").select("chunk_id", "kind", "name", "start_line", "end_line")
+
+
+@query()
+def markdown_sections(spark, d):
+    """Every document chunked as Markdown."""
+    from ..sources.scan import chunk_texts
+
+    return chunk_texts(table(spark, d, "documents"), "doc_id", "text", ".md").select("chunk_id", "kind", "name", "start_line", "end_line")
+
+
+@query()
+def generic_chunks(spark, d):
+    """Every document through the generic chunker."""
+    from ..sources.scan import chunk_texts
+
+    return chunk_texts(table(spark, d, "documents"), "doc_id", "text", ".txt").select("chunk_id", "kind", "name", "start_line", "end_line")
+
+
+@query("""SELECT doc_id, title, start_line, end_line FROM (SELECT doc_id, trim(regexp_extract(x, '^(#{1,6})\\s+(.+)$', 2)) AS title, i AS start_line, CAST(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, n) AS BIGINT) AS end_line
+FROM (SELECT doc_id, l[i] AS x, i, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE length(text) > 0))) WHERE regexp_matches(x, '^(#{1,6})\\s+(.+)$'))""".replace("\\\\", "\\"))
+def heading_sections(spark, d):
+    return L.sections(table(spark, d, "documents"))
+
+
+@query()
+def compress_docs(spark, d):
+    """Every document compressed to 200 tokens for a query."""
+    from ..operators.context import compressed
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("source"), F.lit("text").alias("language"))
+    return compressed(docs, "the reader and the function of thing", 200).select("doc_id", F.col("compressed.original_tokens").alias("original_tokens"), F.col("compressed.compressed_tokens").alias("compressed_tokens"), F.col("compressed.kept_lines").alias("kept_lines"))
+
+
+@query()
+def build_contexts(spark, d):
+    """A context within 1500 tokens for every benchmark text, from its best documents."""
+    from ..operators.context import build_contexts as build
+
+    docs = table(spark, d, "documents")
+    top = R.top(_scores(spark, d), 8).join(docs.select("doc_id", "text", "source"), "doc_id")
+    first = F.substring_index("text", "\n", 1)
+    cards = top.select("query_id", "rank", "score", F.col("doc_id").cast("string").alias("chunk_id"), F.lit("function").alias("kind"), F.col("source").alias("file"), F.substring(first, 1, 160).alias("signature"), F.substring(first, 1, 160).alias("card"), F.col("text").alias("source"), F.lit("text").alias("language"))
+    return build(cards.join(_queries(spark, d).select("query_id", F.col("text").alias("query")), "query_id"), 1500)
+
+
+@query("WITH " + _GRAPH + """, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
+SELECT 0 AS part, id AS ord, 'CREATE (:Chunk {id: "' || id || '"});' AS line FROM n UNION ALL SELECT 1, '', ''
+UNION ALL SELECT 2, src || chr(1) || 'calls' || chr(1) || dst, 'MATCH (a {id: "' || src || '"}), (b {id: "' || dst || '"}) CREATE (a)-[:CALLS]->(b);' FROM e""")
+def export_cypher(spark, d):
+    from ..operators.sinks import cypher
+
+    return cypher(_edges(spark, d))
+
+
+@query("WITH " + _GRAPH + """ SELECT 0 AS part, '' AS ord, 'digraph code {' AS line UNION ALL SELECT 1, src || chr(1) || 'calls' || chr(1) || dst, '  "' || src || '" -> "' || dst || '" [label="calls"];' FROM e UNION ALL SELECT 2, '', '}'""")
+def export_dot(spark, d):
+    from ..operators.sinks import dot
+
+    return dot(_edges(spark, d))
