@@ -17,6 +17,15 @@ hashed k-gram in it (a minimizer), so equal strings meet at equal owners:
    holds a smaller document.
 4. The cuts join the texts.
 
+The border of a passage that a third of all documents share is an anchor with
+a different run in each of them, and one word again and again is one run over
+and over.  Such hot anchors (over ``HOT`` runs) take
+another way from where they are noticed: a task that sees one spreads its runs
+by their own hashes and only leaves a mark at the anchor's place; their strings
+are then compared one by one by 128-bit fingerprints, spread by fingerprint,
+after each task has kept the smallest document of each.  No task ever gets all
+runs of a hot anchor.
+
 Nulls: a null text is empty; a null id ranks after every other id.  Rows that
 share an id never remove each other's bytes.  Texts under L bytes stay whole.
 An empty table gives an empty result.  Other columns of the input pass
@@ -33,12 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, fan_out, join_packed, materialize, mix64, pack, runs, ship, spread, table, text_buffers
+from .common import bucket_of, fan_out, join_packed, lean, materialize, mix64, pack, runs, ship, table, text_buffers, text_slices, trim, unpack
 
 L_BYTES = 50
 K_GRAM = 20
 CHUNK = 1 << 20
-FLUSH = 3_000_000
+SLICE = 8 << 20
+FLUSH = 600_000
+#: an anchor with more runs left than this is hot: its strings are compared one by one
+HOT = 256
+#: contexts of one reduce task are refined in so many separate ranges of anchor hashes
+FINE = 8
 NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 _MASK64 = (1 << 64) - 1
@@ -138,7 +152,9 @@ def _order(h: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 _OUT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 _OUT_SQL = "part int, kind tinyint, payload binary"
-_ASK, _CUT, _RUNS = 2, 1, 0
+_RUNS, _CUT, _ASK, _SPREAD, _MARK = 0, 1, 2, 3, 4
+#: kinds of the second exchange, beside the ranges 0 to FINE - 1
+_STRINGS, _CUT_HOME = 100, 101
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -161,50 +177,85 @@ def _by_part(part: np.ndarray, kind: int, cols: list[np.ndarray]) -> list[tuple[
     return [(int(part[s]), kind, pack(*(c[s:e] for c in cols))) for s, e in zip(cut[:-1], cut[1:])]
 
 
+def _spread(h: np.ndarray, n: int) -> np.ndarray:
+    """The partition of an anchor; anchors are minima, so their hashes are hashed again."""
+    return bucket_of(mix64(h + np.uint64(_BASE)), n)
+
+
+def _lead(*keys: np.ndarray) -> np.ndarray:
+    """For sorted keys, the place of the first row with the same keys."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(n), 0))
+
+
+def _runs_cell(h, v, pos, count, doc, ids, keys) -> bytes:
+    docs, local = np.unique(doc, return_inverse=True)
+    local = local.astype(np.uint16 if len(docs) < 65536 else np.uint32)
+    cell = pack(h, v, pos.astype(np.uint16) if pos.max() < 65536 else pos, count, local)
+    return pack(np.frombuffer(cell, np.uint8), ids[docs], keys[docs])
+
+
 def _map_runs(n_parts: int, length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            data, off = text_buffers(b.column(3))
-            cols = anchors(data, off, length, k)
-            ids, keys, home = (np.asarray(b.column(i)) for i in (0, 1, 2))
-            held.append((cols, ids, keys, home))
-            size += len(cols[0])
-            if size >= FLUSH:
-                yield from _rows(flush(held))
-                held, size = [], 0
+            data, off = text_buffers(b.column(2))
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j in text_slices(off, SLICE):
+                cols = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
+                held.append((cols, ids[i:j], keys[i:j]))
+                size += len(cols[0])
+                if size >= FLUSH:
+                    yield from _rows(flush(held))
+                    held, size = [], 0
         if held:
             yield from _rows(flush(held))
 
     def flush(held: list[tuple]) -> list[tuple[int, int, bytes]]:
         base = np.cumsum([0, *(len(x[1]) for x in held)])
-        ids, keys, home = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        ids, keys = (np.concatenate([x[i] for x in held]) for i in (1, 2))
         h, v, doc, pos, count = (np.concatenate(c) for c in zip(*((c[0], c[1], c[2].astype(np.int64) + s, c[3], c[4]) for (c, *_), s in zip(held, base))))
+        held.clear()
         rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)  # equal ids rank alike
         o = _order(h, v, rank[doc])
         h, v, doc, pos, count = (c[o] for c in (h, v, doc, pos, count))
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (v[1:] != v[:-1])] if len(h) else np.zeros(0, bool)
-        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+        lead = _lead(h, v)
         later = rank[doc] > rank[doc[lead]]
         rows = []
         gone = np.flatnonzero(later)
         if len(gone):
             d = doc[gone]
-            rows += _by_part(home[d], _CUT, [ids[d], keys[d], pos[gone], _all(count[gone])])
-        keep = np.flatnonzero(~later)
-        bucket = bucket_of(h[keep], n_parts)  # h is sorted, so buckets are runs
+            rows += _by_part(_home(keys[d], n_parts), _CUT, [ids[d], keys[d], pos[gone], _all(count[gone])])
+        hs = runs(h)
+        left = np.add.reduceat((~later).astype(np.int64), hs) if len(h) else hs
+        is_hot = np.repeat(left > HOT, np.diff(np.r_[hs, len(h)]))
+        hot = np.flatnonzero(is_hot & ~later)
+        if len(hot):
+            marks = h[hs[left > HOT]]
+            rows += _by_part(_spread(marks, n_parts), _MARK, [marks])
+            part = bucket_of(mix64(v[hot]), n_parts)
+            o = np.argsort(part, kind="stable")
+            hot, part = hot[o], part[o]
+            cut = np.r_[runs(part), len(part)]
+            for s, e in zip(cut[:-1], cut[1:]):
+                x = hot[s:e]
+                rows.append((int(part[s]), _SPREAD, _runs_cell(h[x], v[x], pos[x], count[x], doc[x], ids, keys)))
+        keep = np.flatnonzero(~later & ~is_hot)
+        bucket = _spread(h[keep], n_parts)
+        o = np.argsort(bucket, kind="stable")
+        keep, bucket = keep[o], bucket[o]
         cut = np.r_[runs(bucket), len(bucket)]
         for s, e in zip(cut[:-1], cut[1:]):
             x = keep[s:e]
-            docs, local = np.unique(doc[x], return_inverse=True)
-            local = local.astype(np.uint16 if len(docs) < 65536 else np.uint32)
-            p = pos[x]
-            cell = pack(h[x], v[x], p.astype(np.uint16) if p.max() < 65536 else p, count[x], local)
-            rows.append((int(bucket[s]), _RUNS, pack(np.frombuffer(cell, np.uint8), ids[docs], keys[docs])))
+            rows.append((int(bucket[s]), _RUNS, _runs_cell(h[x], v[x], pos[x], count[x], doc[x], ids, keys)))
         return rows
 
-    return run
+    return lean(run)
 
 
 def _all(count: np.ndarray) -> np.ndarray:
@@ -213,55 +264,56 @@ def _all(count: np.ndarray) -> np.ndarray:
 
 def _reduce_runs(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, list[tuple]] = {_RUNS: [], _SPREAD: []}
+        marks = [np.zeros(0, np.uint64)]
         for b in batches:
             kind = b.column(1).to_numpy()
-            for i in np.flatnonzero(kind == _RUNS):
-                cell, ids, keys = unpack_cell(b.column(2)[int(i)].as_buffer())
-                held.append((cell, ids, keys))
-            other = b.filter(pa.array(kind != _RUNS))
-            if other.num_rows:
-                yield other
-        if held:
-            yield from _rows(answer(held))
-
-    def unpack_cell(buf):
-        from .common import unpack
-
-        cell, ids, keys = unpack(buf)
-        return unpack(cell.tobytes()), ids, keys
-
-    def answer(held) -> list[tuple[int, int, bytes]]:
+            for i in np.flatnonzero(kind != _CUT):
+                cols = unpack(b.column(2)[int(i)].as_buffer())
+                if kind[i] == _MARK:
+                    marks += cols
+                else:
+                    held[int(kind[i])].append((unpack(cols[0].tobytes()), *cols[1:]))
+            cuts = b.filter(pa.array(kind == _CUT))
+            if cuts.num_rows:
+                yield cuts
+        for kind in (_RUNS, _SPREAD):
+            if held[kind]:
+                yield from _rows(answer(held[kind], kind == _SPREAD, np.unique(np.concatenate(marks))))
+
+    def answer(held, hot: bool, marks: np.ndarray) -> list[tuple[int, int, bytes]]:
         base = np.cumsum([0, *(len(x[1]) for x in held)])
         ids, keys = (np.concatenate([x[i] for x in held]) for i in (1, 2))
         h, v, pos, count = (np.concatenate([x[0][i] for x in held]) for i in range(4))
-        doc = np.concatenate([x[0][4].astype(np.int64) + s for x, s in zip(held, base)])
+        doc = np.concatenate([x[0][4].astype(np.int32) + np.int32(s) for x, s in zip(held, base)])
         held.clear()
-        uniq, rank = np.unique(ids, return_inverse=True)
-        r = rank[doc].astype(np.int64)
-        o = _order(h, v, r)
-        h, v, pos, count, doc, r = (c[o] for c in (h, v, pos, count, doc, r))
-        hs = runs(h)
-        group = np.zeros(len(h), np.int64)
-        group[hs[1:]] = 1
-        group = np.cumsum(group)
-        kind_start = np.r_[True, (h[1:] != h[:-1]) | (v[1:] != v[:-1])]
-        lead = np.maximum.accumulate(np.where(kind_start, np.arange(len(h)), 0))
+        rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+        o = _order(h, v, rank[doc])
+        h, v, pos, count, doc = (c[o] for c in (h, v, pos, count, doc))
+        r = rank[doc]
+        lead = _lead(h, v)
         later = r > r[lead]
-        shared = (np.minimum.reduceat(r, hs) != np.maximum.reduceat(r, hs)) & (np.add.reduceat(kind_start.astype(np.int64), hs) > 1)
-        ask = shared[group] & ~later
+        if hot:
+            ask, is_hot = ~later, np.ones(len(h), bool)
+        else:
+            hs = runs(h)
+            size = np.diff(np.r_[hs, len(h)])
+            kinds = np.add.reduceat((lead == np.arange(len(h))).astype(np.int32), hs)
+            marked = np.isin(h[hs], marks, assume_unique=True)
+            shared = (np.minimum.reduceat(r, hs) != np.maximum.reduceat(r, hs)) & (kinds > 1)
+            ask = np.repeat(shared | marked, size) & ~later
+            is_hot = np.repeat(marked | (np.add.reduceat((~later).astype(np.int32), hs) > HOT), size)
         rows = []
-        for pick, kind in ((np.flatnonzero(later), _CUT), (np.flatnonzero(ask), _ASK)):
-            if len(pick):
-                d = doc[pick]
-                extra = _all(count[pick]) if kind == _CUT else np.frombuffer(h[pick].tobytes(), np.uint64)
-                cols = [ids[d], keys[d], pos[pick].astype(np.uint32), extra]
-                if kind == _ASK:
-                    cols.append(count[pick])
-                rows += _by_part(_home(keys[d], n_parts), kind, cols)
+        gone, want = np.flatnonzero(later), np.flatnonzero(ask)
+        if len(gone):
+            d = doc[gone]
+            rows += _by_part(_home(keys[d], n_parts), _CUT, [ids[d], keys[d], pos[gone].astype(np.uint32), _all(count[gone])])
+        if len(want):
+            d = doc[want]
+            rows += _by_part(_home(keys[d], n_parts), _ASK, [ids[d], keys[d], pos[want].astype(np.uint32), h[want], count[want], is_hot[want].astype(np.uint8)])
         return rows
 
-    return run
+    return lean(run)
 
 
 def _home(keys: np.ndarray, n: int) -> np.ndarray:
@@ -296,7 +348,7 @@ def _contexts(n_parts: int, length: int):
         if docs.num_rows == 0 or asks.num_rows == 0:
             return _OUT.empty_table()
         ids, keys, data, off = _doc_cols(docs)
-        want_ids, want_keys, pos, h, count = join_packed(c.as_buffer() for c in asks.column("payload"))
+        want_ids, want_keys, pos, h, count, hot = join_packed(c.as_buffer() for c in asks.column("payload"))
         row, wish = _match(ids, keys, want_ids, want_keys)
         first = np.sort(np.unique(wish, return_index=True)[1])  # rows that are copies of each other ask once
         row, wish = row[first], wish[first]
@@ -304,20 +356,74 @@ def _contexts(n_parts: int, length: int):
         text_at = off[row] + pos[wish]
         good = text_at + size <= off[row + 1]
         row, wish, size, text_at = row[good], wish[good], size[good], text_at[good]
-        part = bucket_of(h[wish], n_parts)
+        x = hot[wish] > 0
+        out = strings(want_ids, want_keys, pos, wish[x], _gather(data, text_at[x], size[x]), size[x])
+        row, wish, size, text_at = row[~x], wish[~x], size[~x], text_at[~x]
+        part = _spread(h[wish], n_parts * FINE)
         o = np.argsort(part, kind="stable")
         row, wish, size, text_at, part = (c[o] for c in (row, wish, size, text_at, part))
-        cut, out = np.r_[runs(part), len(part)], []
+        cut = np.r_[runs(part), len(part)]
         for s, e in zip(cut[:-1], cut[1:]):
             w = wish[s:e]
             body = _gather(data, text_at[s:e], size[s:e])
             cols = pack(want_ids[w], want_keys[w], pos[w], count[w])
-            out.append((int(part[s]), _ASK, pack(np.frombuffer(cols, np.uint8), body)))
+            out.append((int(part[s]) // FINE, int(part[s]) % FINE, pack(np.frombuffer(cols, np.uint8), body)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT) if out else _OUT.empty_table()
 
+    def strings(ids, keys, pos, wish, body, size) -> list[tuple[int, int, bytes]]:
+        """The strings of hot anchors; of equal ones the smallest document's."""
+        if not len(wish):
+            return []
+        at = np.cumsum(size) - size
+        n = size - (length - 1)
+        entry = np.repeat(np.arange(len(n)), n)
+        bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        w1, w2 = fingerprints(body, at[entry] + bit, length)
+        d, p = wish[entry], pos[wish][entry] + bit.astype(np.uint32)
+        out, keep = _smallest(ids, keys, d, p, w1, w2, n_parts)
+        out = [(part, _CUT_HOME, cell) for part, _, cell in out]
+        d, p, w1, w2 = d[keep], p[keep], w1[keep], w2[keep]
+        part = bucket_of(w1, n_parts)
+        cut = np.r_[runs(part), len(part)]
+        for s, e in zip(cut[:-1], cut[1:]):
+            out.append((int(part[s]), _STRINGS, pack(w1[s:e], w2[s:e], ids[d[s:e]], keys[d[s:e]], p[s:e])))
+        return out
+
     return run
 
 
+def fingerprints(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the strings at ``starts``."""
+    letters, up, down = _tables()
+    out = []
+    for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
+        table_ = mix64(letters ^ salt)
+        h = np.empty(len(starts), np.uint64)
+        step = CHUNK - length
+        o = np.argsort(starts, kind="stable")
+        cuts = np.searchsorted(starts[o], np.arange(0, len(data) + step, step))
+        for c, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if a == z:
+                continue
+            d = data[c * step : c * step + CHUNK]
+            sums = np.r_[np.uint64(0), np.cumsum(table_[d] * up[: len(d)])]
+            s = starts[o[a:z]] - c * step
+            h[o[a:z]] = mix64((sums[s + length] - sums[s]) * down[s] + salt)
+        out.append(h)
+    return out[0], out[1]
+
+
+def _smallest(ids, keys, d, p, w1, w2, n_parts: int):
+    """Cuts for strings that a smaller document here has, and the others' rows."""
+    rank = np.unique(ids, return_inverse=True)[1][d]
+    o = np.lexsort((rank, w2, w1))
+    lead = _lead(w1[o], w2[o])
+    later = rank[o] > rank[o][lead]
+    gone = o[later]
+    rows = _by_part(_home(keys[d[gone]], n_parts), _CUT, [ids[d[gone]], keys[d[gone]], p[gone], np.ones(len(gone), np.uint64)]) if len(gone) else []
+    return rows, o[~later]
+
+
 def qgram_buckets(data: np.ndarray) -> np.ndarray:
     """Initial buckets: the 8 bytes from each position, as a number."""
     n = len(data)
@@ -380,20 +486,30 @@ def string_buckets(data: np.ndarray, starts: np.ndarray, length: int = L_BYTES)
 
 
 def _refine_contexts(n_parts: int, length: int):
-    from .common import unpack
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, bodies = [], []
+        held: dict[int, list[bytes]] = {}
         for b in batches:
-            for c in b.column(2):
-                cols, body = unpack(c.as_buffer())
-                heads.append(unpack(cols.tobytes()))
-                bodies.append(body)
-        if not heads:
-            return
+            kind = b.column(1).to_numpy()
+            for i in np.flatnonzero(kind != _CUT_HOME):
+                held.setdefault(int(kind[i]), []).append(b.column(2)[int(i)].as_py())
+            cuts = b.filter(pa.array(kind == _CUT_HOME))
+            if cuts.num_rows:
+                yield cuts
+        for kind in sorted(held):
+            yield from _rows((strings if kind == _STRINGS else answer)(held.pop(kind)))
+
+    def strings(cells: list[bytes]) -> list[tuple[int, int, bytes]]:
+        w1, w2, ids, keys, p = join_packed(cells)
+        return _smallest(ids, keys, np.arange(len(ids)), p, w1, w2, n_parts)[0]
+
+    def answer(cells: list[bytes]) -> list[tuple[int, int, bytes]]:
+        heads, bodies = [], []
+        for c in cells:
+            cols, body = unpack(c)
+            heads.append(unpack(cols.tobytes()))
+            bodies.append(body)
         ids, keys, pos, count = (np.concatenate(c) for c in zip(*heads))
         data = np.concatenate(bodies)
-        bodies.clear()
         n = count.astype(np.int64)
         size = n + (length - 1)
         at = np.cumsum(size) - size
@@ -409,20 +525,21 @@ def _refine_contexts(n_parts: int, length: int):
         gone = rank > least
         np.bitwise_or.at(mask, entry[gone], np.uint64(1) << bit[gone].astype(np.uint64))
         hit = np.flatnonzero(mask)
-        if len(hit):
-            yield from _rows(_by_part(_home(keys[hit], n_parts), _CUT, [ids[hit], keys[hit], pos[hit], mask[hit]]))
+        if not len(hit):
+            return []
+        return _by_part(_home(keys[hit], n_parts), _CUT, [ids[hit], keys[hit], pos[hit], mask[hit]])
 
-    return run
+    return lean(run)
 
 
 def cover(n: int, start: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:
     """Which of n bytes lie in a string that goes."""
-    delta = np.zeros(n + 1, np.int64)
+    delta = np.zeros(n + 1, np.int32)
     for bit in range(int(mask.max()).bit_length() if len(mask) else 0):
         s = start[(mask >> np.uint64(bit)) & np.uint64(1) != 0] + bit
-        delta += np.bincount(s, minlength=n + 1)
-        delta -= np.bincount(s + length, minlength=n + 1)
-    return np.cumsum(delta[:-1]) > 0
+        np.add.at(delta, s, 1)
+        np.subtract.at(delta, s + length, 1)
+    return np.cumsum(delta[:-1], dtype=np.int32) > 0
 
 
 def _cut_texts(schema: pa.Schema, length: int, keep_text: bool):
@@ -430,31 +547,51 @@ def _cut_texts(schema: pa.Schema, length: int, keep_text: bool):
         if docs.num_rows == 0:
             return schema.empty_table()
         ids, keys, data, off = _doc_cols(docs)
-        gone = np.zeros(len(data), bool)
+        row = np.zeros(0, np.int64)
         if cuts.num_rows:
             want_ids, want_keys, pos, mask = join_packed(c.as_buffer() for c in cuts.column("payload"))
             row, wish = _match(ids, keys, want_ids, want_keys)
-            gone = cover(len(data), off[row] + pos[wish], mask[wish], length)
-        removed = np.r_[0, np.cumsum(gone)]
-        edge = gone.copy()
-        edge[1:] &= ~gone[:-1]
-        inner = off[:-1][off[:-1] < len(data)]
-        edge[inner] = gone[inner]
-        edges = np.r_[0, np.cumsum(edge)]
-        left = data[~gone].tobytes()
-        place = off - removed[off]
-        kept = [left[s:e] for s, e in zip(place[:-1], place[1:])]
-        n_removed = removed[off[1:]] - removed[off[:-1]]
+            o = np.argsort(row, kind="stable")
+            row, wish = row[o], wish[o]
+            start, mask = off[row] + pos[wish], mask[wish]
+        n_removed, n_spans, sha, texts = [], [], [], []
+        i = 0
+        while i < len(ids):  # about CHUNK bytes at a time
+            j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1)
+            lo, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
+            a, z = np.searchsorted(row, [i, j])
+            if a == z:
+                n_removed.append(np.zeros(j - i, np.int64))
+                n_spans.append(np.zeros(j - i, np.int64))
+                left, place = part.tobytes(), lo
+            else:
+                gone = cover(len(part), start[a:z] - off[i], mask[a:z], length)
+                removed = np.r_[0, np.cumsum(gone)]
+                edge = gone.copy()
+                edge[1:] &= ~gone[:-1]
+                first = lo[:-1][lo[:-1] < len(part)]
+                edge[first] = gone[first]
+                edges = np.r_[0, np.cumsum(edge)]
+                left, place = part[~gone].tobytes(), lo - removed[lo]
+                n_removed.append(np.diff(removed[lo]))
+                n_spans.append(np.diff(edges[lo]))
+            kept = [left[s:e] for s, e in zip(place[:-1], place[1:])]
+            sha += [hashlib.sha256(x).hexdigest() for x in kept]
+            if keep_text:
+                texts += [x.decode("utf-8", "ignore") for x in kept]
+            i = j
+        n_removed = np.concatenate(n_removed)
         out = {
             "__tsr_n_bytes": pa.array(np.diff(off)),
             "__tsr_n_removed": pa.array(n_removed),
-            "__tsr_n_spans": pa.array(edges[off[1:]] - edges[off[:-1]]),
-            "__tsr_sha": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+            "__tsr_n_spans": pa.array(np.concatenate(n_spans)),
+            "__tsr_sha": pa.array(sha, pa.string()),
         }
         if keep_text:
-            was_null = np.asarray(docs.column("__tsr_text").is_null())
-            out["__tsr_text"] = pa.array([None if z and not r else x.decode("utf-8", "ignore") for x, z, r in zip(kept, was_null, n_removed)], pa.string())
+            null = np.asarray(docs.column("__tsr_text").is_null())
+            out["__tsr_text"] = pa.array([None if z else x for x, z in zip(texts, null)], pa.string())
         cols = [out[f.name] if f.name in out else docs.column(f.name) for f in schema]
+        trim()
         return pa.Table.from_arrays(cols, schema=schema)
 
     return run
@@ -477,15 +614,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(ident, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     base = df.select(ident.alias("__tsr_id"), key.alias("__tsr_key"), F.col(f"`{text_col}`").alias("__tsr_text"))
 
-    def with_home(batches):
-        for b in batches:
-            keys = b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_home(keys, n)), b.column(2)], names=["id", "key", "home", "text"])
-
-    def first_pass(batches):
-        yield from _map_runs(n, length, k)(with_home(batches))
-
-    found = base.mapInArrow(first_pass, _OUT_SQL).repartitionById(n, F.col("part")).mapInArrow(_reduce_runs(n), _OUT_SQL)
+    found = base.mapInArrow(_map_runs(n, length, k), _OUT_SQL).repartitionById(n, F.col("part")).mapInArrow(_reduce_runs(n), _OUT_SQL)
     found = materialize(found, "runs")
 
     # the same exchange of the texts serves both joins
