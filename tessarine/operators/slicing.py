@@ -25,9 +25,15 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def _names(node: ast.AST, context) -> set[str]:
-    got = {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, context)}
-    got |= {n.attr for n in ast.walk(node) if isinstance(n, ast.Attribute) and isinstance(n.ctx, context)}
+def _names(node: ast.AST, context, attributes: bool = True) -> set[str]:
+    """Names (and attributes) that a node loads or stores."""
+    got: set[str] = set()
+    for part in ast.walk(node):
+        if isinstance(getattr(part, "ctx", None), context):
+            if isinstance(part, ast.Name):
+                got.add(part.id)
+            elif attributes and isinstance(part, ast.Attribute):
+                got.add(part.attr)
     return got
 
 
@@ -59,9 +65,8 @@ def _block(body: list[ast.stmt], need: set[str], anchors: set[str], keep: set[in
         stores = _names(node, ast.Store)
         if _seed(node, anchors) or stores & need:
             keep |= set(range(node.lineno - 1, node.end_lineno))
-            plain = {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
             if not isinstance(node, ast.AugAssign):
-                need = need - plain
+                need = need - _names(node, ast.Store, attributes=False)
             need = need | _names(node, ast.Load)
     return need
 

@@ -138,7 +138,7 @@ class CodeMemory:
         best = got[0].score if got else 0.0
         return [self._card(r) | {"strong_match": r.score >= 0.5 * best} for r in got]
 
-    def build_context(self, query: str, token_budget: int = 1800, k_files: int = 4, k_chunks: int = 10, fetch_bodies: int = 2) -> dict:
+    def build_context(self, query: str, token_budget: int = 1800, *, fetch_bodies: int = 2, k_chunks: int = 10, k_files: int = 4) -> dict:
         files, cards = self.retrieve(query, k_files, k_chunks)
         rows = [r.asDict() for r in cards.orderBy("rank").collect()]
         return C.build_context(query, files, rows, self.find_existing(query, 3), token_budget, fetch_bodies)

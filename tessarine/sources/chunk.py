@@ -55,13 +55,14 @@ def number_repeats(chunks: list[dict]) -> list[dict]:
 
 def mask(src: str, line_marks=("//",), block_marks=(("/*", "*/"),), quotes="\"'`", triple: bool = False, verbatim: bool = False) -> str:
     """The source with comments and strings blanked; length and newlines stay."""
-    out = list(src)
-    i, n = 0, len(src)
+    n, i, done = len(src), 0, 0
+    kept: list[str] = []
 
-    def blank(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
+    def blank(start: int, stop: int) -> None:
+        nonlocal done
+        hidden = src[start : min(stop, n)]
+        kept.append(src[done:start] + re.sub(r"[^\n]", " ", hidden))
+        done = start + len(hidden)
 
     while i < n:
         c = src[i]
@@ -101,7 +102,7 @@ def mask(src: str, line_marks=("//",), block_marks=(("/*", "*/"),), quotes="\"'`
             i = j
             continue
         i += 1
-    return "".join(out)
+    return "".join(kept) + src[done:]
 
 
 def comment_above(lines: list[str], at: int, marks=("#", "//", "--", "*", "/*", ";", "%", "!", "'"), limit: int = 600) -> str | None:
