@@ -105,6 +105,26 @@ def test_lm_gradients_and_scores():
     assert np.allclose(each[:150], again[:150], atol=1e-5) and np.allclose(each[:70], again[:70], atol=1e-6)
 
 
+def test_lm_trains_on_every_id(spark):
+    from tessarine.llm.common import unpack
+
+    r = random.Random(2)
+    texts = ["", None, *(" ".join(f"word{r.randrange(50)}" for _ in range(n)) for n in (1, 15, 16, 63, 64, 65, 700, 3000))]
+    train = [i != 4 for i in range(len(texts))]
+    enc, end = encoder(default_path()), 60_000
+    df = spark.createDataFrame([*zip(range(len(texts)), train, texts)], "key long, train boolean, text string")
+    got = [unpack(r.payload) for r in df.mapInArrow(op6._gather(default_path(), 3, end), op6._OUT_SQL).where(f"kind = {op6._WINDOWS}").collect()]
+    win = np.concatenate([c[1].reshape(-1, op6.T + 1) if len(c) == 2 else np.stack(c[1:], axis=1) for c in got])
+    targets = win[:, 1:]
+    want: list = []
+    for t, use in zip(texts, train):
+        if use:
+            flat, _ = enc.encode([(t or "").encode()], None)
+            want += [*flat.tolist(), end]
+    assert sorted(targets[targets >= 0].tolist()) == sorted(want)
+    assert (win[:, :-1][targets >= 0] >= 0).all()  # each has the id before it as its input
+
+
 def test_lm_base_scores_by_brute_force(spark):
     import collections
     import math
