@@ -36,6 +36,13 @@ def parser_for(path: str, source: str) -> Callable[[str, str], list[dict]]:
     return _FORMATS.get(ext, formats.generic)
 
 
+def parse_text(path: str, source: str) -> list[dict]:
+    """All chunks of one text, whatever it looks like; a parser's error shows."""
+    if path.lower().endswith(".py"):
+        return python_source.parse(path, source)
+    return parser_for(path, source)(path, source)
+
+
 def looks_binary(source: str) -> bool:
     head = source[:8000]
     return "\0" in head or any(len(x) > 4000 for x in head.splitlines())
@@ -44,10 +51,8 @@ def looks_binary(source: str) -> bool:
 def parse_file(path: str, source: str) -> tuple[str, list[dict]]:
     """(status, chunks) of one file."""
     try:
-        if path.lower().endswith(".py"):
-            return "indexed", python_source.parse(path, source)
-        if looks_binary(source):
+        if not path.lower().endswith(".py") and looks_binary(source):
             return "skipped_binary", []
-        return "indexed", parser_for(path, source)(path, source)
+        return "indexed", parse_text(path, source)
     except Exception:  # one file's odd syntax must not end the scan; it is counted
         return "skipped_parse_error", []

@@ -168,16 +168,16 @@ def index_report(parsed: DataFrame) -> dict[str, int]:
 
 
 def chunk_texts(docs: DataFrame, id_col: str, text_col: str, suffix: str) -> DataFrame:
-    """Texts of a table chunked as files of one extension."""
+    """Every text of a table chunked as a file of one extension; the guards of a source tree don't apply."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .route import parse_file
+        from .route import parse_text
 
         for b in batches:
             rows = []
             for i, text in zip(b.id, b.text):
-                for k, c in enumerate(parse_file(f"{i}{suffix}", text or "")[1]):
+                for k, c in enumerate(parse_text(f"{i}{suffix}", text or "")):
                     rows.append((k, *(c[f] for f in FIELDS)))
             yield pd.DataFrame(rows, columns=["chunk_ord", *FIELDS])
 

@@ -196,6 +196,26 @@ def test_parsers():
         assert route.parse_file("f" + ext, "}}{ ((\nend\nclass A {\n'\"")[0] == "indexed"
 
 
+def test_table_texts_with_long_lines_are_chunked(spark, monkeypatch):
+    long = "x" * 5000
+    df = spark.createDataFrame([(1, f"<nav>{long}</nav><script>f()</script>"), (2, f"# A\n{long}\n# B\n"), (3, "a\0b"), (4, None)], "id long, text string")
+
+    def got(suffix):
+        return sorted((r.file, r.kind, r.name) for r in scan.chunk_texts(df, "id", "text", suffix).collect())
+
+    assert [x for x in got(".html") if x[0] == "1.html"] == [("1.html", "element", "nav@L1"), ("1.html", "script", "script@L1")]
+    assert [x[0] for x in got(".md")] == ["1.md", "2.md", "2.md", "3.md"] and [x[0] for x in got(".txt")] == ["1.txt", "2.txt", "3.txt"]
+    assert route.parse_file("a.html", f"<nav>{long}</nav>") == ("skipped_binary", [])  # a source tree keeps its guard
+
+    def broken(path, source):
+        raise ValueError("odd syntax")
+
+    monkeypatch.setattr(route, "parser_for", lambda path, source: broken)
+    with pytest.raises(ValueError, match="odd syntax"):
+        route.parse_text("a.md", "x")
+    assert route.parse_file("a.md", "x") == ("skipped_parse_error", [])
+
+
 def test_tokens_are_the_native_expression(spark):
     texts = ["getHTTPResponse_code x2y _users 2fa", "", "É camelCase __init__ ABCDef"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
