@@ -230,6 +230,29 @@ def test_pagerank_and_closure_with_lost_rank(spark):
     assert resolve.BUILTINS
 
 
+def test_converged_pagerank_by_brute_force(spark):
+    edges = {(r.src, r.dst) for r in catalog._edges(spark, SF).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    pr = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(50):
+        lost = sum(pr[x] for x in nodes if x not in out)
+        nxt = dict.fromkeys(nodes, (0.15 + 0.85 * lost) / len(nodes))
+        for a, to in out.items():
+            for b in to:
+                nxt[b] += 0.85 * pr[a] / len(to)
+        gap, pr = sum(abs(nxt[x] - pr[x]) for x in nodes), nxt
+        if gap < 1e-9:
+            break
+    got = {r.id: r.ppr for r in catalog.QUERIES["pagerank_converged"](spark, SF).collect()}
+    assert set(got) == set(nodes) and max(abs(got[x] - pr[x]) for x in nodes) < 2e-9
+    want = sorted(((-round(pr[x], 6), x) for x in nodes))[:10]
+    top = [(-r.ppr, r.id) for r in catalog.QUERIES["central_nodes_converged"](spark, SF).collect()]
+    assert [x for _, x in top] == [x for _, x in want] and max(abs(a - b) for (a, _), (b, _) in zip(top, want)) < 2e-6
+
+
 def test_sinks(spark, tmp_path):
     e = spark.createDataFrame([('a"<', "calls", "b\\"), ("file:x", "contains", 'a"<')], "src string, kind string, dst string")
     for name, fn in (("cypher", sinks.cypher), ("graphml", sinks.graphml), ("dot", sinks.dot)):
