@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessarine.functions import text as T
 from tessarine.operators import context as C
 from tessarine.operators import graph as G
+from tessarine.operators import rank as R
 from tessarine.operators import resolve, sinks
 from tessarine.operators.slicing import interprocedural, python_slice, slice_lines, tokens
 from tessarine.plans import catalog
@@ -253,6 +254,20 @@ def test_converged_pagerank_by_brute_force(spark):
     assert [x for _, x in top] == [x for _, x in want] and max(abs(a - b) for (a, _), (b, _) in zip(top, want)) < 2e-6
 
 
+def test_boost_of_every_node_and_of_missing_ones(spark):
+    scores = spark.createDataFrame([("q", "a", 4.0), ("q", "b", 2.0), ("q", "c", 1.0)], "query_id string, doc_id string, score double")
+    central = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "doc_id string, ppr double")
+    got = {r.doc_id: r.score for r in R.boost(scores, central, 0.1).collect()}
+    assert got == pytest.approx({"a": 3.8, "b": 2.2, "c": 0.9})
+    every = {(r.query_id, r.doc_id): r.score for r in catalog.QUERIES["boost_scores_all"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey").collect()
+    top = max(r.c_nationkey for r in rows)
+    most = {s: float(max(r.c_acctbal for r in rows if r.c_mktsegment == s)) for s in {r.c_mktsegment for r in rows}}
+    for r in rows:
+        want = 0.9 * float(r.c_acctbal) + 0.1 * r.c_nationkey / top * most[r.c_mktsegment] if most[r.c_mktsegment] > 0 else float(r.c_acctbal)
+        assert every[r.c_mktsegment, f"c{r.c_custkey}"] == pytest.approx(want, abs=2e-6)
+
+
 def test_sinks(spark, tmp_path):
     e = spark.createDataFrame([('a"<', "calls", "b\\"), ("file:x", "contains", 'a"<')], "src string, kind string, dst string")
     for name, fn in (("cypher", sinks.cypher), ("graphml", sinks.graphml), ("dot", sinks.dot)):
