@@ -8,12 +8,16 @@ memory of words is a cache: it is emptied when full and nothing depends on it.
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
 import numpy as np
 
 CACHE_WORDS = 1_200_000
+#: the split of the public word tokenizer: letters and punctuation never share a subword
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = b".,;:!?"
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -61,6 +65,15 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
+        with open(path, encoding="utf-8") as f:
+            conf = json.load(f)
+        steps = conf.get("normalizer") or {}
+        self.lower = "Lowercase" in [x.get("type") for x in steps.get("normalizers", [steps])]
+        splits = conf.get("pre_tokenizer") or {}
+        self.closes = np.zeros(self.tok.get_vocab_size(), bool)
+        for piece, i in self.tok.get_vocab().items():
+            self.closes[i] = piece.endswith("</w>")
+        self.marks = self.lower and any(x.get("pattern") == {"Regex": _SPLIT} for x in splits.get("pretokenizers", [splits]))
         self._clear()
 
     def _clear(self) -> None:
@@ -68,20 +81,57 @@ class WordEncoder:
         self.start, self.size, self.ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint32 if self.tok.get_vocab_size() > 65536 else np.uint16)
 
     def _learn(self) -> None:
+        """Ids of the new words.  A letter before closing marks parts them: such words are put together."""
         fresh, self.known.fresh = self.known.fresh, []
-        for i in range(0, len(fresh), 4096):
-            part = [w.decode("utf-8", "replace") for w in fresh[i : i + 4096]]
-            got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int32, len(got))
-            self.start.add(self.ids.n + np.cumsum(size) - size)
-            self.size.add(size)
-            self.ids.add(np.fromiter(chain.from_iterable(got), self.ids.a.dtype, int(size.sum())))
-
-    def word_numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        begun = self.start.n
+        whole, joined = [], []
+        for n, w in enumerate(fresh, begun):
+            stem = w.rstrip(_MARKS) if self.marks else w
+            if len(stem) < len(w) and stem and stem[-1:].isalpha() and stem[-1:].isascii():
+                joined.append((n, self.known[stem], self.known[w[len(stem) :]]))
+            else:
+                whole.append((n, w))
+        more, self.known.fresh = self.known.fresh, []
+        whole += enumerate(more, begun + len(fresh))
+        total = len(fresh) + len(more)
+        start, size = np.zeros(total, np.int64), np.zeros(total, np.int32)
+        self._encode([w for _, w in whole], np.array([n - begun for n, _ in whole], np.int64), start, size)
+        self.start.add(start)
+        self.size.add(size)
+        if joined:
+            n, stem, mark = np.array(joined).T
+            a, b = self.size.a[stem].astype(np.int64), self.size.a[mark].astype(np.int64)
+            both = a + b
+            ends = np.cumsum(both)
+            first = np.arange(ends[-1]) - np.repeat(ends - both, both)
+            take = np.where(first < np.repeat(a, both), np.repeat(self.start.a[stem], both) + first, np.repeat(self.start.a[mark] - a, both) + first)
+            self.start.a[n], self.size.a[n] = self.ids.n + ends - both, both
+            self.ids.add(self.ids.a[take])
+
+    def _encode(self, fresh: list[bytes], at: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> None:
+        """Words of letters alone are encoded many at a time: each ends with its only closing id."""
+        texts = [w.decode("utf-8", "replace") for w in fresh]
+        alone = np.array([not (self.marks and t.isalpha() and t.lower().isalpha()) for t in texts], bool)
+        for group, many in ((np.flatnonzero(~alone), 256), (np.flatnonzero(alone), 1)):
+            for i in range(0, len(group), 64 * 256):
+                part = group[i : i + 64 * 256]
+                lines = [" ".join([texts[x] for x in part[j : j + many]]) for j in range(0, len(part), many)]
+                got = [e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
+                flat = np.fromiter(chain.from_iterable(got), self.ids.a.dtype, sum(map(len, got)))
+                size = np.fromiter(map(len, got), np.int64, len(got))
+                if many > 1:
+                    size = np.diff(np.r_[0, np.flatnonzero(self.closes[flat]) + 1])
+                    if len(size) != len(part):
+                        raise ValueError("a word of letters has several closing ids")
+                start[at[part]] = self.ids.n + np.cumsum(size) - size
+                sizes[at[part]] = size
+                self.ids.add(flat)
+
+    def word_numbers(self, texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all words in turn, words of each text)."""
         if len(self.known) > self.limit:
             self._clear()
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts] if lower or self.lower else [t.split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.known.fresh:
