@@ -208,6 +208,7 @@ def lean(f):
 
                 libc = ctypes.CDLL("libc.so.6")
                 libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+                libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD: arrays that come and go keep their pages
                 _LEAN.append(libc)
             except (OSError, AttributeError):
                 _LEAN.append(None)
