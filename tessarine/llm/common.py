@@ -194,6 +194,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _LEAN: list = []
 
 
+def _tune() -> None:
+    if _LEAN:
+        return
+    try:
+        import ctypes
+
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD: arrays that come and go keep their pages
+        _LEAN.append(libc)
+    except (OSError, AttributeError):
+        _LEAN.append(None)
+
+
 def lean(f):
     """Wrap a worker generator so that memory it freed goes back to the system.
 
@@ -202,16 +216,7 @@ def lean(f):
     """
 
     def run(batches):
-        if not _LEAN:
-            try:
-                import ctypes
-
-                libc = ctypes.CDLL("libc.so.6")
-                libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-                libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD: arrays that come and go keep their pages
-                _LEAN.append(libc)
-            except (OSError, AttributeError):
-                _LEAN.append(None)
+        _tune()
         try:
             yield from f(batches)
         finally:

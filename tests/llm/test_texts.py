@@ -6,13 +6,17 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tessarine.llm import attention as net
 from tessarine.llm import op4_packing as op4
 from tessarine.llm import op6_lm as op6
 from tessarine.llm import op7_audio as op7
 from tessarine.llm import op8_pieces as op8
 from tessarine.llm import op9_chat as op9
+from tessarine.llm.common import unpack
 from tessarine.llm.queries import ORACLE_SQL, QUERIES
 from tessarine.llm.templates import Template, TemplateError, parse
 from tessarine.llm.words import default_path, encoder
@@ -71,58 +75,100 @@ def test_packing_by_brute_force(spark):
         assert at <= 2048
 
 
-def test_lm_gradients_and_scores():
-    r = np.random.default_rng(1)
-    voc = op6.Vocabulary(r.integers(0, 50, 500).astype(float), r.random(500) < 0.5)
-    share = np.bincount(voc.cls, weights=np.exp(voc.log_in), minlength=op6.CLASSES)
-    assert np.allclose(share[np.unique(voc.cls)], 1, atol=1e-4)  # P(id | class) adds up
-    p = {k: v.astype(np.float64) for k, v in op6.initial(voc.share).items()}
-    x, y = r.integers(0, 400, (2, op6.T)), r.integers(-1, op6.CLASSES, (2, op6.T))
-    g = op6.gradients(p, x, y)
+def test_lm_gradients():
+    r = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in net.initial(np.full(net.OUT, -4.0)).items()}
+    p["far"] = r.standard_normal(net.T) * 0.1
+    words = net.Words(r.integers(0, 20, 30), r.integers(0, 20, 60), np.r_[np.full(15, 4), np.zeros(15, int)])
+    win, y = r.integers(-1, 30, (3, net.T)), r.integers(-1, net.OUT, (3, net.SPAN))
 
     def loss():
-        f, use = y.ravel(), y.ravel() >= 0
-        return -op6.log_probs(op6.forward(p, x)[0][use], f[use]).mean()
-
-    for k in p:
-        i = int(np.argmax(np.abs(g[k])))
+        z, _ = net.forward(p, np.concatenate([words.vectors(p), np.zeros((1, net.DIM))])[win], (win >= 0).astype(float), net.bias(p))
+        use = y.ravel() >= 0
+        return -net.log_probs(z[use], y.ravel()[use]).mean()
+
+    dense, rows = net.gradients(p, words, win, y)
+    for k, shape in net.SHAPES.items():
+        g = dense.get(k)
+        if g is None:
+            g = np.zeros(shape)
+            g[rows[k][0]] = rows[k][1]
+        i = int(np.argmax(np.abs(g)))
         flat = p[k].reshape(-1)
         keep = flat[i]
-        flat[i] = keep + 1e-4
+        flat[i] = keep + 1e-5
         up = loss()
-        flat[i] = keep - 1e-4
+        flat[i] = keep - 1e-5
         down = loss()
         flat[i] = keep
-        assert abs((up - down) / 2e-4 - g[k].reshape(-1)[i]) < 1e-4 + 1e-2 * abs(g[k].reshape(-1)[i]), k
-    # windows score each id once, from its context alone
-    p = op6.initial(voc.share)
-    flat = r.integers(0, 499, 200)
-    each, close = op6.lm_scores(p, voc, flat, np.array([0, 0, 70, 200]), 499)
-    assert len(each) == 200 and len(close) == 3 and (each < 0).all() and (close < 0).all()
-    changed = flat.copy()
-    changed[150] = 3
-    again, _ = op6.lm_scores(p, voc, changed, np.array([0, 0, 70, 200]), 499)
-    assert np.allclose(each[:150], again[:150], atol=1e-5) and np.allclose(each[:70], again[:70], atol=1e-6)
-
-
-def test_lm_trains_on_every_id(spark):
-    from tessarine.llm.common import unpack
-
-    r = random.Random(2)
-    texts = ["", None, *(" ".join(f"word{r.randrange(50)}" for _ in range(n)) for n in (1, 15, 16, 63, 64, 65, 700, 3000))]
-    train = [i != 4 for i in range(len(texts))]
-    enc, end = encoder(default_path()), 60_000
-    df = spark.createDataFrame([*zip(range(len(texts)), train, texts)], "key long, train boolean, text string")
-    got = [unpack(r.payload) for r in df.mapInArrow(op6._gather(default_path(), 3, end), op6._OUT_SQL).where(f"kind = {op6._WINDOWS}").collect()]
-    win = np.concatenate([c[1].reshape(-1, op6.T + 1) if len(c) == 2 else np.stack(c[1:], axis=1) for c in got])
-    targets = win[:, 1:]
-    want: list = []
-    for t, use in zip(texts, train):
-        if use:
-            flat, _ = enc.encode([(t or "").encode()], None)
-            want += [*flat.tolist(), end]
-    assert sorted(targets[targets >= 0].tolist()) == sorted(want)
-    assert (win[:, :-1][targets >= 0] >= 0).all()  # each has the id before it as its input
+        assert abs((up - down) / 2e-5 - g.ravel()[i]) < 1e-4 * abs(g.ravel()[i]) + 1e-9, k
+
+
+def test_lm_windows_score_each_place_once_and_look_back_only():
+    r = np.random.default_rng(1)
+    n = np.array([0, 1, 23, 24, 25, 200])
+    doc, at = net.windows(n)
+    places = [(d, a + j) for d, a in zip(doc, at) for j in range(net.SPAN) if a + j <= n[d]]
+    assert sorted(places) == [(d, j) for d, m in enumerate(n) for j in range(m + 1)]
+    p = net.initial(np.full(net.OUT, -4.0))
+    words = net.Words(np.r_[r.integers(0, 50, 40), net.ROWS], r.integers(0, 50, 40), np.r_[np.ones(40, int), 0])
+    cls = np.r_[r.integers(0, net.CLASSES, 40), 0]
+    seq, first = op6._with_starts(r.integers(0, 40, n.sum()), n, 40)
+    got = net.score_places(p, words, seq, first, n, cls[seq])
+    assert (got < 0).all() and len(got) == n.sum() + len(n)
+    other = seq.copy()
+    other[first[-1] + 150] = (other[first[-1] + 150] + 1) % 40
+    again = net.score_places(p, words, other, first, n, cls[seq])
+    assert np.allclose(got[: first[-1] + 150], again[: first[-1] + 150], atol=1e-6) and not np.allclose(got[first[-1] + 150 :], again[first[-1] + 150 :], atol=1e-6)
+
+
+def test_lm_word_probabilities_add_up():
+    """Known words and all spellings of a tiny vocabulary: at most one a class, and nearly one."""
+    ids, end = 3, 3
+    words = {(0,): 5, (0, 1): 2, (1,): 1, (2, 2): 7, (2, 0, 1): 1, (0, 2): 1}
+    pairs = {}
+    for w in words:
+        for a, b in zip(w, [*w[1:], end]):
+            pairs[a * (end + 1) + b] = pairs.get(a * (end + 1) + b, 0) + 1
+    key, count = np.array(list(pairs)), np.array(list(pairs.values()))
+    firsts = sorted({w[0] for w in words})
+    sums = np.array([sum(n for w, n in words.items() if w[0] == f) for f in firsts]), np.array([sum(w[0] == f for w in words) for f in firsts])
+    voc = op6.Vocabulary(end, 17, 4, (np.array(firsts), *sums), (np.array(firsts), np.random.default_rng(3).integers(-9, 9, (3, 2 * op6.SIGNS))), (3, 1), (key[count > 1], count[count > 1]), np.bincount(key // (end + 1), weights=count, minlength=ids), np.bincount(key % (end + 1), weights=count, minlength=end + 1))
+    total = np.zeros(net.CLASSES)
+    for length in range(1, 11):
+        every = np.array(list(itertools.product(range(ids), repeat=length)))
+        got = 10 ** voc.spelled(every.ravel(), np.full(len(every), length), np.zeros(len(every), int)) / (1 - op6.OTHER)
+        total += np.bincount(voc.cls[every[:, 0]], weights=got, minlength=net.CLASSES)
+    for w, n in words.items():
+        total[voc.cls[w[0]]] += max(n - voc.d, 0) / voc.n[voc.cls[w[0]]]
+    used = np.unique(voc.cls[:ids])
+    assert (total[used] <= 1 + 1e-5).all() and (total[used] > 0.9).all()
+    # words of one spelling share it: all byte strings of the same ids take at most OTHER more
+    assert op6.same_spelling(["é".encode(), "É".encode(), "a".encode(), "a\u00a0b".encode(), "e\u0301".encode()]).tolist() == [True, False, True, False, False]
+
+
+def test_lm_trains_on_every_window_once():
+    slots = [x for lo, share in zip(np.cumsum(op6.TURNS) - op6.TURNS, op6.TURNS) for x in range(lo, lo + share)]
+    assert slots == list(range(16))
+    text = " ".join(f"word{i % 90}" for i in range(5000))
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([True, False]), pa.array([text, text])], names=list("abcd"))
+    (cell,) = op6._encode(default_path(), 49408)(iter([b]))
+    work = pa.RecordBatch.from_arrays([cell.column(i) for i in (1, 2, 3)], names=list("abc"))
+    flat, size, _ = unpack(cell.column(1)[0].as_buffer())
+    first = flat[np.cumsum(size.astype(int)) - size]
+    n, v = np.bincount(first, minlength=49409)[:49409], np.bincount(first, minlength=49409)[:49409]
+    who = np.flatnonzero(n)
+    voc = op6.Vocabulary(49409, 5001, 1, (who, n[who], v[who]), (who, np.ones((len(who), 2 * op6.SIGNS))), (0, 0), (np.zeros(0, int), np.zeros(0)), np.zeros(49409), np.zeros(49410))
+    seen = 0
+    for lo, share in zip(np.cumsum(op6.TURNS) - op6.TURNS, op6.TURNS):
+        seen += sum(r.column(1)[0].as_py() for r in op6._train(net.initial(voc.share, voc.start), voc, 1e-3, (lo, lo + share))(iter([work])))
+    assert seen == -(-5001 // net.SPAN)  # the held-out copy isn't trained on
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    df = QUERIES["op6_lm"](spark, "/root/testdata/sf0.01").where("held_out and n_known = n_tokens")
+    own, base, tokens = df.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert tokens > 500 and own / tokens > base / tokens + 0.1  # of texts whose words are known, where both are probabilities
 
 
 def test_lm_base_scores_by_brute_force(spark):
