@@ -52,10 +52,19 @@ def test_labellers_and_em():
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     seen = labels.where("doc_id % 2 = 0")
-    got = op5.classify(docs, seen).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "toxic", (F.col("__tsr_quality") >= 0.5).cast("int").alias("q"), "__tsr_keep").collect()
+    got = op5.classify(docs, seen).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "toxic", "__tsr_toxic", (F.col("__tsr_quality") >= 0.5).cast("int").alias("q"), "__tsr_keep").collect()
     assert np.mean([r.q == r.quality for r in got]) > 0.93
     assert np.mean([r["__tsr_keep"] for r in got if r.quality and not r.toxic]) > 0.97
-    assert np.mean([not r["__tsr_keep"] for r in got if not r.quality]) > 0.6
+    assert np.mean([not r["__tsr_keep"] for r in got if not r.quality]) > 0.9
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = op5.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "toxic", "__tsr_toxic", "__tsr_keep").collect()
+    assert np.mean([r["__tsr_toxic"] >= 0.5 for r in got if r.toxic]) > 0.75
+    assert np.mean([bool(r.toxic) for r in got if r["__tsr_toxic"] >= 0.5]) > 0.95
+    assert np.mean([r["__tsr_keep"] for r in got if r.quality and not r.toxic]) > 0.98
 
 
 def test_quality_odd_inputs(spark):
@@ -64,6 +73,9 @@ def test_quality_odd_inputs(spark):
     got = op5.classify(df).collect()
     assert len(got) == 5 and not any(r["__tsr_keep"] for r in got if not r.text) and {r["__tsr_y"] for r in got} == {"a", "b", "c", None}
     assert op5.classify(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(7, f"text {i % 3} of many rows with one id") for i in range(300)], "doc_id long, text string")
+    _, report = op5.train(same, None, "doc_id", "text")
+    assert op5.classify(same).count() == 300 and set(report) == {"quality", "toxic"}
 
 
 def judge(url, rules):
