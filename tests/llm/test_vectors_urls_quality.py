@@ -103,6 +103,40 @@ def test_url_rules(spark):
     assert {r.verdict for r in op10.url_verdicts(df.limit(2), rules=(), seed_terms=()).collect()} == {"allow"}
 
 
+def test_url_scores_by_brute_force(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    r = np.random.default_rng(7)
+    rows = [("http://" + "".join(r.choice(list("abc"), 5)) + ".org/x", 0) for _ in range(60)] + [("http://" + "".join(r.choice(list("cde"), 5)) + ".biz/yy", 1) for _ in range(40)]
+    model = op10.train(spark.createDataFrame(rows, "__url string, class int"))
+    seen = [defaultdict(Counter), defaultdict(Counter)]
+    for u, c in rows:
+        for i, ch in enumerate(u):
+            for o in range(op10.ORDER + 1):
+                seen[c][("^" * op10.ORDER + u)[i + op10.ORDER - o : i + op10.ORDER]][ch] += 1
+
+    def brute(u):
+        total = 0.0
+        for i, ch in enumerate(u):
+            p = [1 / 256, 1 / 256]
+            for o in range(op10.ORDER + 1):
+                ctx = ("^" * op10.ORDER + u)[i + op10.ORDER - o : i + op10.ORDER]
+                for c in (0, 1):
+                    if n := sum(seen[c][ctx].values()):
+                        p[c] = (seen[c][ctx][ch] + len(seen[c][ctx]) * p[c]) / (n + len(seen[c][ctx]))
+            total += math.log(p[1]) - math.log(p[0])
+        return total / len(u)
+
+    tests = [u for u, _ in rows[::7]] + ["http://ccccc.org/yy", "zz", "http://é.biz/"]
+    body = [u.encode() for u in tests]
+    got = model.scores(np.frombuffer(b"".join(body), np.uint8), np.r_[0, np.cumsum(list(map(len, body)))])
+    for u, g in zip(tests[:-1], got):
+        assert abs(brute(u) - g) < 1e-9, u
+    small = op10.train(spark.createDataFrame(rows, "__url string, class int"), entries=100)
+    assert len(small.pair) <= 100 < len(model.pair) and set(small.ctx.tolist()) < set(model.ctx.tolist())
+
+
 def test_url_model_on_held_out_urls(spark):
     r = np.random.default_rng(4)
     good = ["http://" + "".join(r.choice(list("aeiou"), 8)) + f".org/{i}" for i in range(600)]
