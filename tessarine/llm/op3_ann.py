@@ -9,19 +9,24 @@ windows are so wide that a vector at the distance of its k-th neighbour found
 so far is in enough of them but for a chance of about 1 %, or when they span
 all arrays.
 
-Vectors are cut into blocks of about BLOCK, queries into blocks of QUERIES, and
-each two meet in one task; every task gives each query's k best, which are
-merged by a window.  Nothing is broadcast, sampled or capped.
+Vectors are cut into blocks of about BLOCK by a hash.  Queries go to the blocks:
+a task sorts its rows by block, vectors first, builds a block's index once and
+streams the queries through it, so it holds one block and one batch of queries.
+Each block gives each query's k best, which are merged by a window.  Nothing is
+broadcast, sampled or capped.
 
 Null, zero and non-finite vectors, vectors with null components, and rows with
-a null id take no part.  Vectors of different lengths never meet.  A query never
-meets rows of its own id.  Repeated rows are several candidates; ties go to the
-smaller id.  An empty table gives an empty result.
+a null id take no part.  Vectors of different lengths never meet.  Queries of one
+id and vector are one query; it leaves out one row of its own id and vector, and
+meets all others, also those of its id.  Repeated rows are several candidates;
+ties go to the smaller id.  Other columns are not read.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -29,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 PROJECTIONS = 24
 ALPHA = 0.5
 GROWTH = 1.4
-BLOCK, QUERIES = 16384, 512
+BLOCK = 16384
 SEED = 3
 
 
@@ -97,32 +102,49 @@ class SortedProjections:
         return found[best], dist[best]
 
 
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("key", pa.int64())])
 
 
-def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    col = t.column("v").combine_chunks()
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return t.column("id").to_numpy(), flat.reshape(len(col), -1)
+def _vectors(col) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
 def _search(k: int):
-    def run(key, data: pa.Table, queries: pa.Table) -> pa.Table:
-        if not data.num_rows or not queries.num_rows:
-            return _OUT.empty_table()
-        (ids, x), (qids, q) = _vectors(data), _vectors(queries)
-        o = np.argsort(ids, kind="stable")  # the task's result doesn't hang on the order it came in
-        ids, x = ids[o], x[o]
-        index = SortedProjections(x)
-        out = [[], [], []]
-        for i, v in zip(qids, q):
-            place, dist = index.search(v, ids == i, k, ids)
-            out[0].append(np.full(len(place), i))
-            out[1].append(ids[place])
-            out[2].append(dist)
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=_OUT)
-
-    return run
+    """Rows (dim, block, query?, id, vector), sorted in this order -> the k nearest of each query in its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, index = None, [], None
+        for b in batches:
+            dim, block, asks, ids = (np.asarray(b.column(i)).astype(np.int64) for i in range(4))
+            cut = np.r_[np.flatnonzero(np.r_[True, (np.diff(dim) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)]) if b.num_rows else [], b.num_rows].astype(int)
+            for s, e in zip(cut[:-1], cut[1:]):
+                if here != (dim[s], block[s]):
+                    here, held, index = (dim[s], block[s]), [], None
+                part = b.slice(s, e - s)
+                own, x = ids[s:e], _vectors(part.column(4))
+                if not asks[s]:
+                    held.append((own, x))
+                    continue
+                if index is None:
+                    all_ids, all_x = (np.concatenate(c) for c in zip(*held)) if held else (own[:0], x[:0])
+                    o = np.argsort(all_ids, kind="stable")  # the result doesn't hang on the order they came in
+                    held, index = [(all_ids[o], all_x[o])], SortedProjections(all_x[o]) if len(o) else None
+                if index is not None:
+                    yield from found(own, x, part.column(5), held[0][0], index)
+
+    def found(qids, q, keys, ids, index):
+        out = [[], [], [], []]
+        for i, v, key in zip(qids, q, keys.to_pylist()):
+            mine = np.zeros(len(ids), bool)
+            same = np.flatnonzero(ids == i)
+            same = same[(index.x[same] == v).all(axis=1)]
+            mine[same[:1]] = True
+            place, dist = index.search(v, mine, k, ids)
+            for c, x in zip(out, (np.full(len(place), i), ids[place], dist, np.full(len(place), key))):
+                c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=_OUT)
+
+    return lean(run)
 
 
 def usable(v):
@@ -132,7 +154,7 @@ def usable(v):
     return v.isNotNull() & fine & F.exists(x, lambda e: e != 0)
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, *, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, *, block: int = BLOCK) -> DataFrame:
     """The k nearest rows of ``df`` for each row of ``queries``."""
     ship(df.sparkSession)
 
@@ -140,12 +162,14 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
         v = F.col(f"`{vector_col}`")
         return d.where(F.col(f"`{id_col}`").isNotNull() & usable(v)).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
 
-    data, asked = clean(df), clean(queries)
-    n_blocks, n_query_blocks = max(1, -(-df.count() // block)), max(1, -(-queries.count() // query_block))
-    data = data.withColumn("d", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    asked = asked.withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_query_blocks)).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    got = data.groupBy("dim", "d", "q").cogroup(asked.groupBy("dim", "d", "q")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    blocks = max(1, -(-df.count() // block))
+    data = clean(df).select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("d"), F.lit(0).alias("asks"), "id", "v", F.lit(0).cast("long").alias("key"))
+    asked = clean(queries).dropDuplicates(["id", "v"])
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("d"), F.lit(1).alias("asks"), "id", "v", F.xxhash64("v").alias("key"))
+    tasks = max(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = data.unionByName(asked).repartition(tasks, "dim", "d").sortWithinPartitions("dim", "d", "asks")
+    got = rows.mapInArrow(_search(k), "query_id long, vec_id long, score double, key long")
+    w = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

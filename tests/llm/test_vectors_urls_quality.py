@@ -21,7 +21,7 @@ def test_ann_recall_and_scores(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked = df.where("vec_id % 100 = 0")
     got: dict = {}
-    for g in op3.nearest(df, asked, block=400, query_block=7).collect():
+    for g in op3.nearest(df, asked, block=400).collect():
         got.setdefault(g.query_id, {})[g["rank"]] = (g.score, g.vec_id)
     assert set(got) == {*range(0, 1500, 100), 2300, 2400} and got[2400] == {1: (2**0.5, 2300)}
     hit = 0
@@ -35,6 +35,25 @@ def test_ann_recall_and_scores(spark):
     assert hit >= 0.9 * 150
     assert [got[0][k][1] for k in range(1, 11)] == list(range(700, 710))  # ties go to smaller ids
     assert op3.nearest(df.limit(0), df.limit(0)).count() == 0
+    # a repeated query is one query, whose other row is its nearest; another vector of its id is another query
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [3.0, 0.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    near = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in op3.nearest(twice, twice.where("vec_id = 0"), k=2).collect())
+    assert near == [(0, 1, 0, 0.0), (0, 1, 0, 2.0), (0, 2, 0, 2.0), (0, 2, 5, round(2**0.5, 9))] or near == sorted([(0, 1, 0, 0.0), (0, 2, 5, round(2**0.5, 9)), (0, 1, 0, 2.0), (0, 2, 0, 2.0)])
+
+
+def test_ann_recall_of_the_query(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in df]), np.array([r.embedding for r in df], float)
+    got: dict = {}
+    for r in op3.op3_ann(spark, SF).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
+    hit = 0
+    for q, mine in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hit += len(set(mine) & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit >= 0.9 * 10 * len(got)
 
 
 def test_labellers_and_em():
