@@ -39,8 +39,8 @@ def normalize_path(path: Column) -> Column:
 
 
 def module_names(path: Column) -> Column:
-    """All dotted suffixes of a path without its extension, longest first."""
-    parts = F.split(F.regexp_replace(path, r"\.[^./]*$", ""), "/")
+    """All dotted suffixes of a path without what follows its last dot, longest first; dots in folders part names too."""
+    parts = F.split(F.regexp_replace(path, r"\.[^.]*$", ""), r"[./\\\\]")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 

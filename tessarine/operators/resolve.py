@@ -72,14 +72,14 @@ def code_graph(chunks: DataFrame) -> DataFrame:
     return contains_edges(chunks).unionByName(resolve_calls(chunks).select("src", "kind", "dst"))
 
 
-FRONTEND = (r"""fetch\(\s*["'`]([^"'`]+)["'`]""", r"""(?:axios|http|\$http|api|client)\.(?:get|post|put|patch|delete|head)(?:<[^>]*>)?\(\s*["'`]([^"'`]+)["'`]""", r"""\$\.ajax\(\s*\{[^}]*url\s*:\s*["']([^"']+)["']""")
+FRONTEND = (r"""fetch\(\s*["'`]([^"'`]+)["'`]""", r"""\b(?:http|axios)\.(?:delete|patch|put|post|get)(?:<[^>]*>)?\(\s*["'`]([^"'`]+)["'`]""", r"""\$\.ajax\(\s*\{[^}]*url\s*:\s*["'`]([^"'`]+)["'`]""")
 BACKEND = (
-    r"""@?\w+\.(?:route|get|post|put|patch|delete)\(\s*["']([^"']+)["']""",
-    r"""(?:app|router)\.(?:get|post|put|patch|delete|all|use)\(\s*["'`]([^"'`]+)["'`]""",
-    r"""HandleFunc\(\s*"([^"]+)\"""",
+    r"""@(?:router|app)\.(?:delete|patch|put|post|get|route)\(\s*[fr]?["']([^"']+)["']""",
+    r"""\b(?:router|app)\.(?:delete|patch|put|post|get)\(\s*["'`]([^"'`]+)["'`]""",
+    r"""\.HandleFunc\(\s*"([^"]+)\"""",
     r"""#\[(?:get|post|put|patch|delete)\(\s*"([^"]+)\"""",
     r"""\[(?:HttpGet|HttpPost|HttpPut|HttpPatch|HttpDelete|Route)\(\s*"([^"]+)\"""",
-    r"""@(?:Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\{?\s*"([^"]+)\"""",
+    r"""@(?:Get|Post|Put|Patch|Delete|Request)Mapping\(\s*"([^"]+)\"""",
 )
 
 
@@ -93,19 +93,23 @@ def api_edges(chunks: DataFrame) -> DataFrame:
     fe = chunks.select(F.col("chunk_id").alias("src"), F.explode(_paths(F.col("source"), FRONTEND)).alias("path"))
     whole = F.concat_ws("\n", F.array_join("decorators", "\n"), F.col("source"))
     be = chunks.select(F.col("chunk_id").alias("dst"), F.explode(_paths(whole, BACKEND)).alias("path"))
-    # a client call isn't a route of its own chunk's framework object
     return fe.join(be, "path").select("src", F.lit("api_calls").alias("kind"), "dst").distinct()
 
 
-FFI = (r"""\b(?:ctypes\.)?(?:lib|dll|_lib|cdll)\.(\w+)\s*\(""", r"""\bC\.(\w+)\s*\(""", r"""DllImport\([^)]*\)\][^;]*?\b(\w+)\s*\(""", r"""external\s+\w+\s*:[^=]*=\s*"(\w+)\"""")
+FFI = (
+    r"""extern\s*"C"\s+[\w\s*]*?\b([A-Za-z_]\w*)\s*\(""",  # a prototype
+    r"""\b(?:LibraryLoader|WinDLL|CDLL)\([^)]*\)\s*\.\s*([A-Za-z_]\w*)""",
+    r"""\bFFI\(\)\.(?:def_extern|dlopen)\([^)]*\)\s*\.\s*([A-Za-z_]\w*)""",
+)
+_BLOCK = r"""extern\s*"C"\s*\{([^}]*)\}"""
 
 
 def ffi_edges(chunks: DataFrame) -> DataFrame:
-    """Foreign calls meet functions that C exports."""
-    block = F.regexp_extract("source", r'(?s)extern\s+"C"\s*\{(.*?)\}', 1)
-    want = F.concat(*[F.regexp_extract_all("source", F.lit(p), 1) for p in FFI], F.when(F.col("language") == "rust", F.regexp_extract_all(block, F.lit(r"\b(\w+)\s*\("), 1)).otherwise(F.array().cast("array<string>")))
+    """Names that a chunk declares in or calls through a foreign interface meet the C chunk that exports them."""
+    inside = F.regexp_extract_all(F.array_join(F.regexp_extract_all("source", F.lit(_BLOCK), 1), "\n"), F.lit(r"\b([A-Za-z_]\w*)\s*\("), 1)
+    want = F.concat(inside, *[F.regexp_extract_all("source", F.lit(p), 1) for p in FFI])
     asks = chunks.select(F.col("chunk_id").alias("src"), F.explode(F.array_distinct(want)).alias("name"))
-    gives = chunks.where(F.col("language").isin("c", "cpp", "objc")).select("chunk_id", "chunk_ord", F.explode(F.regexp_extract_all("source", F.lit(r'extern\s+"C"[^;{(]*?\b(\w+)\s*\('), 1)).alias("name"))
+    gives = chunks.where(F.col("language").isin("c", "cpp", "objc")).where(F.array_contains(F.regexp_extract_all("source", F.lit(FFI[0]), 1), F.col("name")))
     gives = gives.groupBy("name").agg(F.max_by("chunk_id", "chunk_ord").alias("dst"))
     return asks.join(gives, "name").where("src <> dst").select("src", F.lit("ffi_calls").alias("kind"), "dst")
 

@@ -94,7 +94,7 @@ _CONTROL = re.compile(r"\b(?:if|else|for|while|switch|case|catch|try|match|loop|
 
 
 def heuristic_slice(source: str, anchors: set[str]) -> list[int] | None:
-    lines = mask(source, ("//", "#", "--")).splitlines()
+    lines = mask(source, ("//", "#")).splitlines()
     if len(lines) < 4:
         return None
     owners: list[list[int]] = []

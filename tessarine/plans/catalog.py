@@ -88,7 +88,7 @@ def normalize_path(spark, d):
     return table(spark, d, "pages").select("page_id", T.normalize_path(F.col("url")).alias("route"))
 
 
-@query("SELECT page_id, list_aggregate(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.')), 'string_agg', '|') AS modules FROM (SELECT page_id, string_split(regexp_replace(url, '\\.[^./]*$', ''), '/') AS p FROM pages)".replace("\\\\", "\\"))
+@query("SELECT page_id, list_aggregate(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.')), 'string_agg', '|') AS modules FROM (SELECT page_id, string_split(replace(replace(regexp_replace(url, '\\.[^.]*$', ''), '.', '/'), chr(92), '/'), '/') AS p FROM pages)".replace("\\\\", "\\"))
 def module_names(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(T.module_names(F.col("url")), "|").alias("modules"))
 

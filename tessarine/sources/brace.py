@@ -33,7 +33,7 @@ def _f(pattern: str, kind: str = "function") -> tuple:
     return kind, re.compile(pattern, re.M), False
 
 
-_C_FN = _f(rf"^[ \t]*{_MOD}(?:[\w:<>,*&\[\]~?.]+[\s*&]+)+(?P<name>~?[A-Za-z_$][\w$:]*)\s*\([^;{{}}]*\)[^;{{}}=]*(?=\{{)")
+_C_FN = _f(rf"^[ \t]*{_MOD}(?:[\w:<>,\[\]~?.]++[\s*&]++)+(?P<name>~?[A-Za-z_$][\w$:]*)\s*\([^;{{}}]*\)[^;{{}}=]*(?=\{{)")
 _CTOR = _f(rf"^[ \t]*{_MOD}(?P<name>~?[A-Za-z_]\w*)\s*\([^;{{}}]*\)[^;{{}}=]*(?=\{{)")
 _FUN = lambda word: _f(rf"^[ \t]*{_MOD}(?:{word})\s+(?P<name>[A-Za-z_$][\w$.?!]*)")
 _JS = (

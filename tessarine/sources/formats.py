@@ -124,8 +124,8 @@ def dockerfile(file: str, source: str) -> list[dict]:
     lines = source.splitlines()
     heads = [(i, m[1]) for i, x in enumerate(lines) if (m := re.match(r"(?i)\s*FROM\s+\S+(?:\s+AS\s+(\S+))?", x))]
     if not heads:
-        return [chunk(file, lines, "stage", "stage0", 0, len(lines) - 1, "dockerfile")] if lines else []
-    return [chunk(file, lines, "stage", n or f"stage{k}", a, b, "dockerfile") for k, ((_, n), (a, b)) in enumerate(zip(heads, _spans(lines, [i for i, _ in heads])))]
+        return [chunk(file, lines, "stage", "Dockerfile", 0, len(lines) - 1, "dockerfile")] if lines else []
+    return [chunk(file, lines, "stage", n or f"stage{k}", a, b, "dockerfile") for k, ((_, n), (a, b)) in enumerate(zip(heads, _spans(lines, [i for i, _ in heads])), 1)]
 
 
 def markdown(file: str, source: str) -> list[dict]:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .chunk import FIELDS, SCHEMA
 
-EXCLUDED_DIRS = frozenset("node_modules bower_components __pycache__ venv env virtualenv site-packages dist build target out bin obj vendor third_party coverage htmlcov egg-info Pods DerivedData cmake-build-debug cmake-build-release tmp logs".split())
-LOCK_FILES = frozenset("package-lock.json yarn.lock pnpm-lock.yaml npm-shrinkwrap.json poetry.lock Pipfile.lock pdm.lock uv.lock Cargo.lock composer.lock Gemfile.lock go.sum mix.lock pubspec.lock Podfile.lock flake.lock".split())
+EXCLUDED_DIRS = frozenset("Debug Pods Release __pycache__ bin build cdk.out coverage dist env node_modules obj out site-packages target vendor venv".split())
+LOCK_FILES = frozenset("Cargo.lock Gemfile.lock Pipfile.lock bun.lockb composer.lock flake.lock go.sum mix.lock npm-shrinkwrap.json package-lock.json packages.lock.json paket.lock pnpm-lock.yaml poetry.lock uv.lock yarn.lock".split())
 BINARY_EXTS = frozenset(".png .jpg .jpeg .gif .bmp .ico .webp .tiff .pdf .zip .gz .tar .bz2 .xz .7z .rar .jar .war .class .o .a .so .dylib .dll .exe .wasm .bin .dat .db .sqlite .sqlite3 .pyc .pyo .pyd .whl .egg .mp3 .mp4 .avi .mov .wav .flac .ogg .webm .ttf .otf .woff .woff2 .eot .lock .sum .map .parquet .npy .npz .pkl .pt .onnx .safetensors .doc .docx .xls .xlsx .ppt .pptx".split())
 MAX_BYTES = 1_500_000
 IGNORE_FILES = (".gitignore", ".tessarineignore")
@@ -95,7 +95,7 @@ def list_files(root: str, extensions=None, report: dict | None = None, respect_i
         keep = []
         for d in sorted(dirs):
             rel = f"{base}/{d}" if base else d
-            if d in EXCLUDED_DIRS or d.startswith(".") or d.endswith(".egg-info"):
+            if d in EXCLUDED_DIRS or d.startswith("."):
                 bump("excluded_dirs")
             elif respect_ignore and ignore.matches(rel, True):
                 bump("gitignored_dirs")

@@ -67,7 +67,7 @@ def get_json(path, tries=3):
     "web/app.ts": "export async function load(id: string) {\n  const r = await fetch(`/api/items/${id}`);\n  return r.json();\n}\nclass Cart {\n  // adds\n  add(x) { this.total(x); }\n  total(y) { return y; }\n}\n",
     "api/items.py": "@app.route('/api/items/<id>')\ndef one_item(id):\n    return {}\n",
     "native/fast.cpp": 'extern "C" int fast_sum(int a, int b) {\n  return a + b;\n}\n',
-    "native/use.py": "def add(a, b):\n    return lib.fast_sum(a, b)\n",
+    "native/use.py": "def add(a, b):\n    return ctypes.CDLL(\"x\").fast_sum(a, b)\n",
     "notes.md": "# Title\nx\n## Part\ny\n## Part\nz\n",
     ".hidden.py": "def no(): pass\n",
     "skip/me.py": "def no(): pass\n",
