@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, ship, table
+from .common import ship, table
 
 PROJECTIONS = 24
 ALPHA = 0.5
@@ -144,7 +144,7 @@ def _search(k: int):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=_OUT)
 
-    return lean(run)
+    return run
 
 
 def usable(v):
