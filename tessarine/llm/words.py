@@ -168,6 +168,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Free the worker's encoders: stages that only read ids need none."""
+    _ENCODERS.clear()
+
+
 def slices(data: np.ndarray, off: np.ndarray, size: int = 2 << 20):
     """Ranges of texts of about ``size`` bytes together."""
     i, n = 0, len(off) - 1
