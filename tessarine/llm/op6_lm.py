@@ -44,8 +44,7 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from .common import bucket_of, fan_out, lean, materialize, mix64, pack, runs, ship, table, text_buffers, text_slices, unpack
-from .shingles import word_bounds, word_hashes
-from .words import default_path, encoder, release
+from .words import default_path, hashed_encoder, release
 
 CELL = 3 << 20
 HEAVY = 100_000
@@ -94,61 +93,22 @@ def same_spelling(words: list[bytes]) -> np.ndarray:
     return out
 
 
-class _Lexicon:
-    """Hashes and spellings of an encoder's words, filled up as it learns."""
-
-    def __init__(self):
-        self.known, self.hash, self.plain, self.bytes = None, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
-
-    def fill(self, enc) -> None:
-        if self.known is not enc.known:  # the encoder was emptied
-            self.__init__()
-            self.known, self.done = enc.known, 0
-        if len(enc.known) > self.done:
-            # dictionaries keep their order; numbers are given in it
-            fresh = list(enc.known)[self.done :]
-            size = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            ends = np.cumsum(size)
-            data = np.frombuffer(b"".join(fresh), np.uint8)
-            self.hash = np.concatenate([self.hash, word_hashes(data, ends - size, ends)])
-            self.plain = np.concatenate([self.plain, same_spelling(fresh)])
-            self.bytes = np.concatenate([self.bytes, size])
-            self.done += len(fresh)
-
-
-_LEXICON = _Lexicon()
-
-
-def lexicon(enc) -> _Lexicon:
-    """One for each Python worker, up to date with its encoder."""
-    _LEXICON.fill(enc)
-    return _LEXICON
-
-
-def free_words() -> None:
-    """What the encoding stage left in this worker."""
-    release()
-    _LEXICON.__init__()
-
-
 def _encode(path: str, odd: int):
     """(key, id, training, text) -> cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = hashed_encoder(path, same_spelling)
         for b in batches:
             keys, ids, train = b.column(0).to_numpy(), b.column(1), np.asarray(b.column(2))
             null = np.asarray(ids.is_null())
             ids = ids.fill_null(0).to_numpy()
             data, off = text_buffers(b.column(3))
             for i, j in text_slices(off, CELL):
-                raw = [data[s:e].tobytes() for s, e in zip(off[i:j], off[i + 1 : j + 1])]
-                numbers, n = enc.word_numbers(raw, lower=True)
-                lex = lexicon(enc)
-                here = np.zeros(len(enc.known), bool)
+                numbers, n = enc.numbers(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                here = np.zeros(enc.n, bool)
                 here[numbers] = True
                 uniq = np.flatnonzero(here)
-                lut = np.zeros(len(enc.known), np.int64)
+                lut = np.zeros(enc.n, np.int32)
                 lut[uniq] = np.arange(len(uniq))
                 seq = lut[numbers]
                 times = np.bincount(seq[np.repeat(train[i:j], n)], minlength=len(uniq))
@@ -161,9 +121,9 @@ def _encode(path: str, odd: int):
                     size = np.maximum(size, 1)
                     upto = np.cumsum(size) - size
                 first = flat[upto] if len(upto) else flat[:0]
-                plain = lex.plain[uniq] & ~none
-                extra = np.where(plain, 0, np.minimum(lex.bytes[uniq] + 1, 1 << 30))
-                cells = [pack(lex.hash[uniq], first, _small(times)), pack(_small(flat), _small(size), _small(extra)), pack(_small(seq), _small(n)), pack(keys[i:j], ids[i:j], null[i:j].astype(np.uint8), train[i:j].astype(np.uint8))]
+                plain = enc.plain.a[uniq] & ~none
+                extra = np.where(plain, 0, np.minimum(enc.bytes.a[uniq] + 1, 1 << 30))
+                cells = [pack(enc.hash.a[uniq], first, _small(times)), pack(_small(flat), _small(size), _small(extra)), pack(_small(seq), _small(n)), pack(keys[i:j], ids[i:j], null[i:j].astype(np.uint8), train[i:j].astype(np.uint8))]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], schema=_CELL)
 
     return lean(run)
@@ -204,7 +164,7 @@ def _count(n_parts: int, end: int):
     signs = _signs(end + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_words()
+        release()
         near = np.zeros((end + 1, 2 * SIGNS), np.int64)
         tokens = docs = 0
         held: list[tuple] = []
@@ -446,7 +406,7 @@ def _train(p: dict, voc: Vocabulary, rate: float, turn: tuple[int, int]):
     """One task's training on the windows whose hash is in the turn's sixteenths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_words()
+        release()
         adam = net.Adam(p, rate)
         name = 0
         for b in batches:
@@ -494,7 +454,7 @@ def _score(n_parts: int, p: dict, voc: Vocabulary, heavy: np.ndarray, heavy_n: n
         known_n = np.log10(heavy_n - voc.d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_words()
+        release()
         for b in batches:
             for row in range(b.num_rows):
                 yield from _rows(cell(*(unpack(b.column(i)[row].as_buffer()) for i in range(4))))
@@ -607,7 +567,7 @@ def _finish(total: int, docs: int, norm: float):
 def learn(cells: DataFrame, n: int, end: int) -> tuple[dict, Vocabulary, np.ndarray, np.ndarray, int]:
     """(attention weights, vocabulary, hashes and counts of the heavy words, kinds of tokens)."""
     found = cells.mapInArrow(_count(n, end), _OUT_SQL).repartitionById(n, F.col("part")).mapInArrow(lean(_reduce_counts), _OUT_SQL)
-    found = materialize(found, "lm-counts")
+    found = materialize(found, "lm-counts", large_cells=True)
 
     def of(kind):
         return found.where(F.col("kind") == kind).select("payload")
@@ -679,7 +639,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crc = F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
     key = F.xxhash64(F.coalesce(ident, F.lit(-(1 << 63))), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     base = df.select(key.alias("key"), ident.alias("id"), (crc % 7 != 2).alias("train"), F.col(f"`{text_col}`").alias("text"))
-    cells = materialize(base.mapInArrow(_encode(path, odd), _CELL_SQL), "lm-cells")
+    cells = materialize(base.mapInArrow(_encode(path, odd), _CELL_SQL), "lm-cells", large_cells=True)
     p, voc, heavy, heavy_n, kinds = learn(cells, n, end)
     norm = math.log10(voc.tokens + kinds + 1)
     scored = cells.mapInArrow(_score(n, p, voc, heavy, heavy_n), _OUT_SQL)

@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from .shingles import word_bounds, word_hashes
+
 CACHE_WORDS = 1_200_000
 #: the split of the public word tokenizer: letters and punctuation never share a subword
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -158,6 +160,149 @@ class WordEncoder:
         return out, off
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS, np.uint8))
+
+
+class HashedEncoder(WordEncoder):
+    """Words told apart by their 64-bit hashes alone: no Python object is kept of any.
+
+    For users who know words by these hashes anyway.  A-Z count as a-z.
+    ``spells(words)`` says of words with other letters what is kept in ``plain``.
+    """
+
+    def __init__(self, path: str, spells, limit: int = CACHE_WORDS):
+        self.spells = spells
+        super().__init__(path, limit)
+
+    def _clear(self) -> None:
+        self.n, self.key, self.number = 0, np.zeros(1 << 17, np.uint64), np.full(1 << 17, -1, np.int32)
+        self.start, self.size, self.ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint32 if self.tok.get_vocab_size() > 65536 else np.uint16)
+        self.hash, self.bytes, self.plain = _Grown(np.uint64), _Grown(np.int64), _Grown(bool)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of words by hash; -1: not known."""
+        mask = np.uint64(len(self.key) - 1)
+        at = (h & mask).astype(np.int64)
+        got = self.number[at]
+        todo = np.flatnonzero((got >= 0) & (self.key[at] != h))
+        while len(todo):
+            a = at[todo] = (at[todo] + 1) & int(mask)
+            got[todo] = self.number[a]
+            todo = todo[(got[todo] >= 0) & (self.key[a] != h[todo])]
+        return got
+
+    def _add(self, h: np.ndarray) -> None:
+        """Different new words get the next numbers."""
+        self.hash.add(h)
+        self.n += len(h)
+        fresh = self.n - len(h)
+        if 2 * self.n > len(self.key):
+            size = len(self.key)
+            while 2 * self.n > size:
+                size *= 2
+            self.key, self.number, fresh = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 0
+        h = self.hash.a[fresh : self.n]
+        mask, number = len(self.key) - 1, np.arange(fresh, self.n, dtype=np.int32)
+        at, todo = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.number[at[todo]] < 0]
+            self.number[at[free]] = number[free]
+            won = self.number[at[todo]] == number[todo]
+            self.key[at[todo[won]]] = h[todo[won]]
+            todo = todo[~won]
+            at[todo] = (at[todo] + 1) & mask
+
+    def numbers(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all words in turn, words of each text)."""
+        if self.n > self.limit:
+            self._clear()
+        s, e, doc = word_bounds(data, off)
+        h = word_hashes(data, s, e)
+        got = self.find(h)
+        miss = np.flatnonzero(got < 0)
+        if len(miss):
+            new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            o = np.argsort(at)
+            rank = np.empty(len(o), np.int64)
+            rank[o] = np.arange(len(o))
+            got[miss] = self.n + rank[back]
+            at = miss[at[o]]
+            self._learn_at(data, s[at], e[at], new[o])
+        return got, np.bincount(doc, minlength=len(off) - 1)
+
+    def _learn_at(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> None:
+        """Ids of new words at these places, which ascend.  A letter before closing marks parts them, as in `_learn`."""
+        begun = self.n
+        stop = e.copy()
+        todo = np.arange(len(s) if self.marks else 0)
+        while len(todo):
+            todo = todo[_MARK[data[stop[todo] - 1]]]
+            stop[todo] -= 1
+            todo = todo[stop[todo] > s[todo]]
+        joined = np.flatnonzero((stop < e) & (stop > s) & _LETTER[data[stop - 1]])
+        self._add(h)
+        sides = []
+        for x, y in ((s[joined], stop[joined]), (stop[joined], e[joined])):
+            side = word_hashes(data, x, y)
+            got = self.find(side)
+            miss = np.flatnonzero(got < 0)
+            if len(miss):
+                more, at, back = np.unique(side[miss], return_index=True, return_inverse=True)
+                got[miss] = self.n + back
+                self._add(more)
+                s, e = np.r_[s, x[miss[at]]], np.r_[e, y[miss[at]]]
+            sides.append(got)
+        whole = np.ones(len(s), bool)
+        whole[joined] = False
+        low = _LOWER[data].tobytes()
+        upto = np.zeros((2, len(data) + 1), np.int32)
+        np.cumsum(~_LETTER[data], out=upto[0, 1:])
+        np.cumsum(data > 127, out=upto[1, 1:])
+        start, size = np.zeros(len(s), np.int64), np.zeros(len(s), np.int32)
+        letters = upto[0][e] == upto[0][s]
+        fast = np.flatnonzero(whole & letters) if self.marks else np.zeros(0, np.int64)
+        whole[fast] = False
+        for i in range(0, len(fast), 64 * 256):
+            at = fast[i : i + 64 * 256]
+            n = e[at] - s[at] + 1  # and a space
+            ends = np.cumsum(n)
+            text = _LOWER[data[np.minimum(np.repeat(s[at] - (ends - n), n) + np.arange(ends[-1]), len(data) - 1)]]
+            text[ends - 1] = 32
+            cut = np.r_[0, ends[255::256], ends[-1]]
+            text = text.tobytes().decode("ascii")
+            got = [x.ids for x in self.tok.encode_batch_fast([text[a:b] for a, b in zip(cut[:-1], cut[1:]) if b > a], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(got), self.ids.a.dtype, sum(map(len, got)))
+            n = np.diff(np.r_[0, np.flatnonzero(self.closes[flat]) + 1])
+            if len(n) != len(at):
+                raise ValueError("a word of letters has several closing ids")
+            start[at], size[at] = self.ids.n + np.cumsum(n) - n, n
+            self.ids.add(flat)
+        rest = np.flatnonzero(whole)
+        self._encode([low[a:b] for a, b in zip(s[rest].tolist(), e[rest].tolist())], rest, start, size)
+        plain = np.ones(len(s), bool)
+        odd = np.flatnonzero(upto[1][e] > upto[1][s])
+        if len(odd):
+            plain[odd] = self.spells([low[a:b] for a, b in zip(s[odd].tolist(), e[odd].tolist())])
+        self.start.add(start)
+        self.size.add(size)
+        self.bytes.add(e - s)
+        self.plain.add(plain)
+        if len(joined):
+            stem, mark = sides
+            a, b = self.size.a[stem].astype(np.int64), self.size.a[mark].astype(np.int64)
+            both = a + b
+            ends = np.cumsum(both)
+            first = np.arange(ends[-1]) - np.repeat(ends - both, both)
+            take = np.where(first < np.repeat(a, both), np.repeat(self.start.a[stem], both) + first, np.repeat(self.start.a[mark] - a, both) + first)
+            n = begun + joined
+            self.start.a[n], self.size.a[n] = self.ids.n + ends - both, both
+            self.ids.add(self.ids.a[take])
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -168,6 +313,13 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def hashed_encoder(path: str, spells) -> HashedEncoder:
+    """One for each Python worker and file."""
+    if f"hashed:{path}" not in _ENCODERS:
+        _ENCODERS[f"hashed:{path}"] = HashedEncoder(path, spells)
+    return _ENCODERS[f"hashed:{path}"]
+
+
 def release() -> None:
     """Free the worker's encoders: stages that only read ids need none."""
     _ENCODERS.clear()

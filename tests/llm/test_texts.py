@@ -165,6 +165,37 @@ def test_lm_trains_on_every_window_once():
     assert seen == -(-5001 // net.SPAN)  # the held-out copy isn't trained on
 
 
+def test_hashed_encoder_is_the_word_encoder():
+    from tessarine.llm.words import HashedEncoder
+
+    r = random.Random(3)
+    texts = [*ODD, "... a.. é. É. x1. it's.", *(" ".join("".join(r.choice("aetABhs.,!é'1") for _ in range(r.randint(1, 8))) for _ in range(r.randint(0, 30))) for _ in range(1500))]
+    old, new = encoder(default_path()), HashedEncoder(default_path(), op6.same_spelling, 3000)
+    assert not any(isinstance(x, (dict, list)) for x in vars(new).values())
+    for lo in range(0, len(texts), 100):
+        raw = [t.encode() for t in texts[lo : lo + 100]]
+        a, n = old.word_numbers(raw, lower=True)
+        b, m = new.numbers(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum(list(map(len, raw)))])
+        assert (n == m).all()
+        for w, x, y in zip(itertools.chain(*(t.lower().split() for t in raw)), a, b):
+            assert old.ids.a[old.start.a[x] :][: old.size.a[x]].tolist() == new.ids.a[new.start.a[y] :][: new.size.a[y]].tolist(), w
+            assert (len(w), op6.same_spelling([w])[0]) == (new.bytes.a[y], new.plain.a[y]), w
+
+
+def test_lm_cells_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    made = []
+    whole = op6.materialize
+    monkeypatch.setattr(op6, "materialize", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    monkeypatch.setattr(op6, "learn", lambda *a: (_ for _ in ()).throw(StopIteration))
+    df = spark.range(24).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 250000), x -> conv(x * 7919 % 99991 + id, 10, 36)), ' ')").alias("text"))
+    with pytest.raises(StopIteration):
+        op6.score_documents(df)
+    sizes = [f.row_group(i).total_byte_size for x in made[0].inputFiles() for f in [pq.ParquetFile(x.removeprefix("file://")).metadata] for i in range(f.num_row_groups)]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 8 << 20  # however many cells a task writes
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     df = QUERIES["op6_lm"](spark, "/root/testdata/sf0.01").where("held_out and n_known = n_tokens")
     own, base, tokens = df.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
