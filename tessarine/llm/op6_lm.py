@@ -20,6 +20,8 @@ Training documents are those whose crc32(id as text) mod 7 is not 2.
    class add up to at most one.  The spelling is its ids: the first within
    the class, the others and the word's end by discounted id pairs.  Words with
    the same ids (none, or unlike letters) share their spelling: see `apart`.
+   At most PAIRS pairs are a table; words with rarer pairs meet these by the
+   pair's hash range, and what they add to a spelling goes to the word's.
    Counts of the HEAVY most frequent words are a table of bounded size; the
    others' occurrences meet by hash range, where counts follow from the
    occurrences themselves, and come back as sums a document.
@@ -59,7 +61,7 @@ OTHER = 1e-3
 
 _OUT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 _OUT_SQL = "part int, kind tinyint, payload binary"
-_WORDS, _PAIRS, _NEAR, _TOTALS, _FIRST, _SIZES, _TAIL, _DOC, _SUMS = range(9)
+_WORDS, _PAIRS, _NEAR, _TOTALS, _FIRST, _SIZES, _TAIL, _DOC, _SUMS, _ASKED, _RARE = range(11)
 _CELL_SQL = "counted binary, spelled binary, places binary, docs binary"
 _CELL = pa.schema([(n, pa.binary()) for n in ("counted", "spelled", "places", "docs")])
 
@@ -316,7 +318,8 @@ def clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.
 class Vocabulary:
     """Classes of the ids, what is counted by class, and how words are spelled."""
 
-    def __init__(self, end: int, tokens: int, docs: int, first: tuple, near: tuple, few: tuple, pairs: tuple, before: np.ndarray, after: np.ndarray):
+    def __init__(self, end: int, tokens: int, docs: int, first: tuple, near: tuple, few: tuple, pairs: tuple, before: np.ndarray, after: np.ndarray, kinds: np.ndarray | None = None):
+        """kinds: how many different ids follow an id, if ``pairs`` aren't all there are."""
         self.end, self.tokens, self.docs = end, tokens, docs
         n, v = np.zeros(end), np.zeros(end)  # occurrences and words by first id
         n[first[0]], v[first[0]] = first[1], first[2]
@@ -347,7 +350,11 @@ class Vocabulary:
         prev = self.pair // (end + 1)
         own = (after + 0.05) / (after.sum() + 0.05 * (end + 1))
         kept = (count - 0.5) / np.maximum(before[prev], 1)
-        left = np.where(before > 0, 1 - np.bincount(prev, weights=kept, minlength=end), 1.0)
+        if kinds is None:
+            left = np.where(before > 0, 1 - np.bincount(prev, weights=kept, minlength=end), 1.0)
+        else:
+            left = np.where(before > 0, 0.5 * kinds / np.maximum(before, 1), 1.0)
+        self.before = before
         self.log_after, self.log_left = np.log10(own), np.log10(np.maximum(left, 1e-12))
         self.log_pair = np.log10(kept + np.maximum(left, 1e-12)[prev] * own[self.pair % (end + 1)])
         # rows of the attention model's tables
@@ -369,14 +376,33 @@ class Vocabulary:
         for k in ("log_first", "log_after", "log_left", "log_pair", "log_n"):
             setattr(self, k, getattr(self, k).astype(np.float32))
 
+    def keys(self, flat: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The pair that each id of words begins; last: the words' last places."""
+        nxt = np.r_[flat[1:], self.end] if len(flat) else flat.copy()
+        nxt[last] = self.end
+        return flat * (self.end + 1) + nxt
+
+    def without(self, key: np.ndarray) -> np.ndarray:
+        """log10 of what pairs have that were never counted."""
+        return self.log_left[key // (self.end + 1)] + self.log_after[key % (self.end + 1)]
+
+    def missing(self, key: np.ndarray) -> np.ndarray:
+        """Which pairs aren't in the table."""
+        if not len(self.pair):
+            return np.ones(len(key), bool)
+        return self.pair[np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)] != key
+
+    def more(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """What counted pairs that aren't in the table have above `without`."""
+        none = self.without(key).astype(np.float64)
+        return np.log10((count - 0.5) / self.before[key // (self.end + 1)] + 10**none) - none
+
     def spelled(self, flat: np.ndarray, size: np.ndarray, extra: np.ndarray) -> np.ndarray:
         """log10 of (what a class leaves to unseen words) * P(spelling) of words."""
         flat = flat.astype(np.int64)
         last = np.cumsum(size) - 1
-        nxt = np.r_[flat[1:], self.end] if len(flat) else flat
-        nxt[last] = self.end
-        key = flat * (self.end + 1) + nxt
-        got = self.log_left[flat] + self.log_after[nxt]
+        key = self.keys(flat, last)
+        got = self.without(key)
         if len(self.pair):
             at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             got = np.where(self.pair[at] == key, self.log_pair[at], got)
@@ -448,7 +474,92 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _AVERAGE_SQL = "shard long, n long, cell binary"
 
 
-def _score(n_parts: int, p: dict, voc: Vocabulary, heavy: np.ndarray, heavy_n: np.ndarray):
+def _ask(n_parts: int, voc: Vocabulary):
+    """Cells -> (pair, word, times) of the words' pairs that the table doesn't hold, by the pair's hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                h, *_ = unpack(b.column(0)[row].as_buffer())
+                flat, size, _ = (x.astype(np.int64) for x in unpack(b.column(1)[row].as_buffer()))
+                key = voc.keys(flat, np.cumsum(size) - 1)
+                at = np.flatnonzero(voc.missing(key))
+                key, word = key[at], np.repeat(np.arange(len(h)), size)[at]
+                o = np.lexsort((word, key))
+                key, word = key[o], word[o]
+                s = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])]) if len(key) else o
+                yield from _rows(_split(bucket_of(mix64(key[s].view(np.uint64)), n_parts), _ASKED, [key[s], h[word[s]], _small(np.diff(np.r_[s, len(key)]))]))
+
+    return lean(run)
+
+
+def _rare_pairs(n_parts: int, least: int):
+    """The counted pairs under ``least``, by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0):
+                key, count = unpack(c.as_buffer())
+                key, count = key[count < least], count[count < least]
+                yield from _rows(_split(bucket_of(mix64(key.view(np.uint64)), n_parts), _PAIRS, [key, count]))
+
+    return lean(run)
+
+
+def _answer(n_parts: int, voc: Vocabulary):
+    """What rare pairs add to the spellings of the words that have them, by the word's hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {_PAIRS: [], _ASKED: []}
+        for b in batches:
+            for kind, c in zip(b.column(1).to_pylist(), b.column(2)):
+                held[kind].append(unpack(c.as_buffer()))
+        if not (held[_PAIRS] and held[_ASKED]):
+            return
+        pair, count = (np.concatenate(x) for x in zip(*held[_PAIRS]))
+        o = np.argsort(pair)
+        pair, count = pair[o], count[o]
+        some = []
+        for key, h, times in held.pop(_ASKED):
+            at = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+            hit = pair[at] == key
+            some.append((at[hit], h[hit], times[hit].astype(np.int64)))
+        at, h, times = (np.concatenate(x) for x in zip(*some))
+        o = np.lexsort((at, h))  # a word may ask from several cells
+        at, h, times = at[o], h[o], times[o]
+        s = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])]) if len(h) else o
+        at, h, times = at[s], h[s], times[s]
+        yield from _rows(_split(bucket_of(h, n_parts), _RARE, [h, times * voc.more(pair[at], count[at].astype(np.int64))]))
+
+    return lean(run)
+
+
+def _added(h: np.ndarray, parts: list) -> np.ndarray:
+    """For sorted hashes, the sums of the (hash, number) columns given."""
+    if not (len(h) and parts):
+        return np.zeros(len(h))
+    k, x = (np.concatenate(c) for c in zip(*parts))
+    at = np.minimum(np.searchsorted(h, k), len(h) - 1)
+    hit = h[at] == k
+    at, x = at[hit], x[hit]
+    o = np.lexsort((x, at))
+    return np.bincount(at[o], weights=x[o], minlength=len(h))
+
+
+def _of_heavy(heavy: np.ndarray):
+    """What rare pairs add to heavy words, as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(2):
+                h, x = unpack(c.as_buffer())
+                hit = np.isin(h, heavy)
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(x[hit])], names=["h", "x"])
+
+    return lean(run)
+
+
+def _score(n_parts: int, p: dict, voc: Vocabulary, heavy: np.ndarray, heavy_n: np.ndarray, heavy_more: np.ndarray):
     base_n = np.log10(heavy_n + 1.0)
     with np.errstate(divide="ignore"):
         known_n = np.log10(heavy_n - voc.d)
@@ -470,11 +581,12 @@ def _score(n_parts: int, p: dict, voc: Vocabulary, heavy: np.ndarray, heavy_n: n
         path = net.score_places(p, voc.words(flat, size), led, begin, n, target[led])
         after = np.cumsum(path)
         of_doc = after[begin + n] - after[begin] + path[begin]  # all words' classes and the end
-        spell = voc.spelled(flat, size, extra)
+        spell = voc.spelled(flat, size, extra)  # without rare pairs
         at = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
         hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
         base, own = np.zeros(len(h)), np.zeros(len(h))
         base[hit] = base_n[at[hit]]
+        spell[hit] += heavy_more[at[hit]]
         own[hit] = np.logaddexp((known_n[at[hit]] - voc.log_n[cls[hit]]) * math.log(10), spell[hit] * math.log(10)) / math.log(10)
         doc = np.repeat(np.arange(len(n)), n)
         sums, score, known = (np.bincount(doc, weights=x[seq], minlength=len(n)) for x in (base, own, hit.astype(np.int64)))
@@ -500,14 +612,15 @@ def _reduce_tail(n_parts: int, voc: Vocabulary):
     log_n, d = voc.log_n.astype(np.float64), voc.d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, rare, size = [], [], 0
         for b in batches:
             kind = b.column(1).to_numpy()
+            rare += [unpack(b.column(2)[int(i)].as_buffer()) for i in np.flatnonzero(kind == _RARE)]
             for i in np.flatnonzero(kind == _TAIL):
                 h, spell, cls, times, local, keys, train = unpack(b.column(2)[int(i)].as_buffer())
                 held.append((np.repeat(h, times), np.repeat(spell, times), np.repeat(cls, times), local.astype(np.uint32) + np.uint32(size), keys, train))
                 size += len(keys)
-            other = b.filter(pa.array(kind != _TAIL))
+            other = b.filter(pa.array((kind != _TAIL) & (kind != _RARE)))
             if other.num_rows:
                 yield other
         if not held:
@@ -520,6 +633,7 @@ def _reduce_tail(n_parts: int, voc: Vocabulary):
         h, spell, cls, doc = h[o], spell[o].astype(np.float64), cls[o], doc[o]
         s = runs(h)
         n = np.add.reduceat((train[doc] > 0).astype(np.int64), s)
+        spell += np.repeat(_added(h[s], rare), np.diff(np.r_[s, len(h)]))
         n = np.repeat(n, np.diff(np.r_[s, len(h)]))
         who = flat[doc]
         sums = np.bincount(who, weights=np.log10(n + 1.0), minlength=len(uniq))
@@ -564,8 +678,8 @@ def _finish(total: int, docs: int, norm: float):
     return lean(run)
 
 
-def learn(cells: DataFrame, n: int, end: int) -> tuple[dict, Vocabulary, np.ndarray, np.ndarray, int]:
-    """(attention weights, vocabulary, hashes and counts of the heavy words, kinds of tokens)."""
+def learn(cells: DataFrame, n: int, end: int) -> tuple[dict, Vocabulary, np.ndarray, np.ndarray, int, DataFrame | None]:
+    """(attention weights, vocabulary, hashes and counts of the heavy words, kinds of tokens, what rare pairs add to words)."""
     found = cells.mapInArrow(_count(n, end), _OUT_SQL).repartitionById(n, F.col("part")).mapInArrow(lean(_reduce_counts), _OUT_SQL)
     found = materialize(found, "lm-counts", large_cells=True)
 
@@ -588,18 +702,26 @@ def learn(cells: DataFrame, n: int, end: int) -> tuple[dict, Vocabulary, np.ndar
     got = of(_WORDS).mapInArrow(_columns(["h", "first", "n"], least_of(of_words, HEAVY)), "h long, first long, n long").toArrow()
     heavy, heavy_n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
     o = np.argsort(heavy)
-    got = of(_PAIRS).mapInArrow(_columns(["pair", "n"], least_of(of_pairs, PAIRS)), "pair long, n long").toArrow()
+    least = least_of(of_pairs, PAIRS)
+    got = of(_PAIRS).mapInArrow(_columns(["pair", "n"], least), "pair long, n long").toArrow()
     pairs = got.column("pair").to_numpy(), got.column("n").to_numpy()
     both = of(_PAIRS).mapInArrow(_columns(["pair", "n"]), "pair long, n long")
     sides = []
     for side, size in ((F.floor(F.col("pair") / (end + 1)), end), (F.col("pair") % (end + 1), end + 1)):
         x = np.zeros(size)
-        t = both.groupBy(side.cast("long").alias("id")).agg(F.sum("n").alias("n")).toArrow()
+        t = both.groupBy(side.cast("long").alias("id")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
         x[t.column("id").to_numpy()] = t.column("n").to_numpy()
         sides.append(x)
+        if len(sides) == 1:
+            kinds = np.zeros(size)
+            kinds[t.column("id").to_numpy()] = t.column("kinds").to_numpy()
     near = of(_NEAR).mapInArrow(_vectors, "id long, v array<long>").toArrow()
     near_v = near.column("v").combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIGNS) if near.num_rows else np.zeros((0, 2 * SIGNS))
-    voc = Vocabulary(end, tokens, docs, summed(_FIRST, ["id", "n", "v"]), (near.column("id").to_numpy(), near_v), tuple(few.tolist()), pairs, *sides)
+    voc = Vocabulary(end, tokens, docs, summed(_FIRST, ["id", "n", "v"]), (near.column("id").to_numpy(), near_v), tuple(few.tolist()), pairs, *sides, kinds)
+    rare = None
+    if of_pairs[: least.bit_length() - 1].any():
+        asked = cells.select("counted", "spelled").mapInArrow(_ask(n, voc), _OUT_SQL).unionAll(of(_PAIRS).mapInArrow(_rare_pairs(n, least), _OUT_SQL))
+        rare = materialize(asked.repartitionById(n, F.col("part")).mapInArrow(_answer(n, voc), _OUT_SQL), "lm-rare", large_cells=True)
 
     p = net.initial(voc.share, voc.start)
     work = cells.select("spelled", "places", "docs")
@@ -615,7 +737,7 @@ def learn(cells: DataFrame, n: int, end: int) -> tuple[dict, Vocabulary, np.ndar
             if vectors:
                 p = net.restore(sum(np.frombuffer(r.cell, np.float32).astype(np.float64) * (r.n / weight) for r in vectors))
             upto += share
-    return p, voc, heavy[o], heavy_n[o], int(of_words.sum()) + (docs > 0)
+    return p, voc, heavy[o], heavy_n[o], int(of_words.sum()) + (docs > 0), rare
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -640,9 +762,15 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.xxhash64(F.coalesce(ident, F.lit(-(1 << 63))), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     base = df.select(key.alias("key"), ident.alias("id"), (crc % 7 != 2).alias("train"), F.col(f"`{text_col}`").alias("text"))
     cells = materialize(base.mapInArrow(_encode(path, odd), _CELL_SQL), "lm-cells", large_cells=True)
-    p, voc, heavy, heavy_n, kinds = learn(cells, n, end)
+    p, voc, heavy, heavy_n, kinds, rare = learn(cells, n, end)
     norm = math.log10(voc.tokens + kinds + 1)
-    scored = cells.mapInArrow(_score(n, p, voc, heavy, heavy_n), _OUT_SQL)
+    more = np.zeros(len(heavy))
+    if rare is not None:
+        got = rare.mapInArrow(_of_heavy(heavy), "h long, x double").groupBy("h").agg(F.sum("x").alias("x")).toArrow()
+        more = _added(heavy, [(got.column("h").to_numpy().view(np.uint64), got.column("x").to_numpy())])
+    scored = cells.mapInArrow(_score(n, p, voc, heavy, heavy_n, more), _OUT_SQL)
+    if rare is not None:
+        scored = scored.unionAll(rare)
     summed = scored.repartitionById(n, F.col("part")).mapInArrow(_reduce_tail(n, voc), _OUT_SQL)
     return summed.repartitionById(n, F.col("part")).mapInArrow(_finish(voc.tokens, voc.docs, norm), _RESULT_SQL)
 

@@ -202,6 +202,22 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
     assert tokens > 500 and own / tokens > base / tokens + 0.1  # of texts whose words are known, where both are probabilities
 
 
+def test_lm_tables_are_bounded_and_scores_are_not_changed_by_that(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet").limit(60).coalesce(1)
+    df = spark.createDataFrame(df.select("doc_id", "text").toPandas()).repartition(2, "doc_id")
+    voc = []
+    whole = op6.Vocabulary
+    monkeypatch.setattr(op6, "Vocabulary", lambda *a: voc.append(whole(*a)) or voc[-1])
+    want = {r.doc_id: r for r in op6.score_documents(df).collect()}
+    monkeypatch.setattr(op6, "PAIRS", 200)
+    monkeypatch.setattr(op6, "HEAVY", 100)
+    got = {r.doc_id: r for r in op6.score_documents(df).collect()}
+    assert len(voc[1].pair) <= 200 < len(voc[0].pair) and set(got) == set(want)
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known) == (want[i].n_tokens, want[i].n_known)
+        assert abs(r.base_score - want[i].base_score) < 1e-9 and abs(r.score - want[i].score) < 1e-6 * abs(r.score) + 1e-6 * r.n_tokens
+
+
 def test_lm_base_scores_by_brute_force(spark):
     import collections
     import math
