@@ -156,6 +156,16 @@ def test_url_scores_by_brute_force(spark):
     assert len(small.pair) <= 100 < len(model.pair) and set(small.ctx.tolist()) < set(model.ctx.tolist())
 
 
+def test_url_scores_by_all_contexts_however_small_the_table(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, ("http://" + "".join(r.choice(list("abcde"), 6)) + (".org/é" if i % 3 else ".biz/casino") if i % 50 else ["", None, "zz"][i // 50 % 3])) for i in range(400)]
+    df = spark.createDataFrame([*rows, *rows[:60]], "page_id long, url string").repartition(3)
+    whole = {(x.page_id, x.verdict, round(x.score, 9)) for x in op10.url_verdicts(df, rules=()).collect()}
+    for entries in (1500, 300, 10):
+        got = op10.url_verdicts(df, rules=(), entries=entries).collect()
+        assert len(got) == 460 and {(x.page_id, x.verdict, round(x.score, 9)) for x in got} == whole
+
+
 def test_url_model_on_held_out_urls(spark):
     r = np.random.default_rng(4)
     good = ["http://" + "".join(r.choice(list("aeiou"), 8)) + f".org/{i}" for i in range(600)]
