@@ -150,11 +150,11 @@ class Transducer:
         A state is a place and the last piece; only BPE needs to tell pieces
         at one place apart.
         """
-        bpe, score = self.model.bpe, self.score
+        bpe, score, trie, pairs = self.model.bpe, self.score, self.trie, self.pairs
         states: list[dict[str, tuple]] = [{"": (0.0, None)}]
         for j in range(1, len(unit) + 1):
             here: dict[str, tuple] = {}
-            node, i = self.trie, j
+            node, i = trie, j
             while i:
                 node = node.get(unit[i - 1])
                 if node is None:
@@ -162,7 +162,16 @@ class Transducer:
                 i -= 1
                 piece = node.get("")
                 if piece is not None:
-                    self._arc(states[i], here, piece, -score[piece], i, bpe)
+                    best, weight = None, -score[piece]
+                    for last, (cost, _) in states[i].items():
+                        if bpe and i:
+                            got = pairs.get((last, piece))
+                            if not (self.may_follow(last, piece) if got is None else got):
+                                continue
+                        if best is None or cost + weight < best[0]:
+                            best = (cost + weight, last)
+                    if best is not None:
+                        here[piece] = best
             c = unit[j - 1]
             if c not in score:
                 self._arc(states[j - 1], here, c, 1e6, j - 1, bpe)
