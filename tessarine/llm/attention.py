@@ -27,6 +27,9 @@ SHAPES = {"first": (ROWS + 1, DIM), "rest": (ROWS, DIM), "far": (T,), "q": (DIM,
 #: how many words back each key is from each place; negative: not to be seen
 _BACK = np.arange(SPAN)[:, None] + CONTEXT - np.arange(T)
 _SEEN = _BACK >= 0
+_FAR = _BACK[_SEEN]
+#: so many further ids of a word are added one by one, all words at once
+FEW = 4
 
 
 def initial(share: np.ndarray, first: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -69,56 +72,88 @@ class Words:
     def __init__(self, first: np.ndarray, rest: np.ndarray, size: np.ndarray):
         self.first, self.rest, self.size = first, rest, size
         self.upto = np.cumsum(size) - size
+        self.lut: np.ndarray | None = None
 
     def take(self, pick: np.ndarray) -> "Words":
         n = self.size[pick]
         at = np.repeat(self.upto[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return Words(self.first[pick], self.rest[at], n)
 
+    def within(self, win: np.ndarray) -> tuple["Words", np.ndarray]:
+        """(the different words of windows, each once; the windows' places in these)."""
+        if self.lut is None:
+            self.lut = np.empty(len(self.first) + 1, np.int64)
+        flat, nth = win.ravel(), np.arange(win.size)
+        self.lut[flat] = nth  # one of a word's places stands for it
+        here = flat[self.lut.take(flat, mode="wrap") == nth]
+        here = here[here >= 0]
+        self.lut[here] = nth[: len(here)]
+        self.lut[-1] = -1
+        return self.take(here), self.lut.take(win, mode="wrap")
+
     def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        return p["first"][self.first] + summed(np.repeat(np.arange(len(self.size)), self.size), p["rest"][self.rest], len(self.size))
+        out = p["first"].take(self.first, axis=0)
+        for k in range(min(FEW, int(self.size.max(initial=0)))):
+            at = np.flatnonzero(self.size > k)
+            out[at] += p["rest"].take(self.rest[self.upto[at] + k], axis=0)
+        at = np.flatnonzero(self.size > FEW)
+        if len(at):
+            n = self.size[at] - FEW
+            more = np.repeat(self.upto[at] + FEW - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[at] += summed(np.repeat(np.arange(len(at)), n), p["rest"].take(self.rest[more], axis=0), len(at))
+        return out
 
 
 def bias(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.where(_SEEN, p["far"][np.maximum(_BACK, 0)], p["far"].dtype.type(-1e9))
 
 
+def _and_one(n: int, dtype) -> np.ndarray:
+    """Room for rows of DIM numbers and a one, which takes a bias in."""
+    out = np.empty((n, DIM + 1), dtype)
+    out[:, DIM] = 1
+    return out
+
+
 def forward(p: dict[str, np.ndarray], h0: np.ndarray, real: np.ndarray, far: np.ndarray):
-    """Logits (windows * SPAN, OUT) for word vectors (windows, T, DIM); real: which of them are words."""
+    """Logits (windows * SPAN, OUT) for word vectors (windows, T, DIM); real: which of them are words (the others are 0)."""
     w = len(h0)
     kv = h0.reshape(-1, DIM) @ p["kv"]
     v1 = np.empty((w, T, DIM + 1), h0.dtype)
     v1[..., :DIM] = kv[:, DIM:].reshape(w, T, DIM)
-    v1[..., DIM] = 1
-    v1 *= real[..., None]
+    v1[..., DIM] = real  # the others are 0 already where no word is
     k = np.ascontiguousarray(kv[:, :DIM].reshape(w, T, DIM).transpose(0, 2, 1))
     own = np.ascontiguousarray(h0[:, CONTEXT:]).reshape(-1, DIM)
     q = own @ (p["q"] * h0.dtype.type(DIM**-0.5))
     a = q.reshape(w, SPAN, DIM) @ k
     a += far
-    np.minimum(a, LIMIT, out=a)
+    np.clip(a, -np.inf, LIMIT, out=a)
     np.exp(a, out=a)
     o1 = (a @ v1).reshape(-1, DIM + 1)
     total = np.maximum(o1[:, DIM:], h0.dtype.type(1e-30))
     o = o1[:, :DIM] / total
-    h1 = own + o @ p["out"]
-    r = h1 @ p["w1"]
-    r += p["b1"]
-    np.maximum(r, 0, out=r)
-    h2 = h1 + r @ p["w2"]
-    z = h2 @ p["wc"]
-    z += p["bc"]
+    h1, h2 = _and_one(len(own), h0.dtype), _and_one(len(own), h0.dtype)
+    np.add(own, o @ p["out"], out=h1[:, :DIM])
+    r = h1 @ np.concatenate([p["w1"], p["b1"][None]])
+    np.clip(r, 0, np.inf, out=r)
+    np.add(h1[:, :DIM], r @ p["w2"], out=h2[:, :DIM])
+    z = h2 @ np.concatenate([p["wc"], p["bc"][None]])
     return z, (own, q, k, v1, a, total, o, h1, r, h2)
 
 
 def log_probs(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithms of the targets' probabilities; z is overwritten."""
     np.clip(z, -LIMIT, LIMIT, out=z)
-    got = z[np.arange(len(target)), target]
+    got = z.ravel().take(np.arange(0, z.size, OUT) + target)
     np.exp(z, out=z)
     return got - np.log(z @ np.ones(OUT, z.dtype))
 
 
+def _over_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y of many rows (a multiple of 8) and few columns: quicker in blocks of rows."""
+    return (x.reshape(8, -1, x.shape[1]).transpose(0, 2, 1) @ y.reshape(8, -1, y.shape[1])).sum(axis=0)
+
+
 def gradients(p: dict[str, np.ndarray], words: Words, win: np.ndarray, target: np.ndarray):
     """Of the mean negative log probability.  win: (windows, T) places in words, -1 for none; targets under 0 don't count.
 
@@ -126,7 +161,7 @@ def gradients(p: dict[str, np.ndarray], words: Words, win: np.ndarray, target: n
     """
     real = (win >= 0).astype(p["q"].dtype)
     table = np.concatenate([words.vectors(p), np.zeros((1, DIM), p["q"].dtype)])
-    h0 = table[win]
+    h0 = table.take(win, axis=0, mode="wrap")
     far = bias(p)
     z, (own, q, k, v1, a, total, o, h1, r, h2) = forward(p, h0, real, far)
     w = len(win)
@@ -135,34 +170,38 @@ def gradients(p: dict[str, np.ndarray], words: Words, win: np.ndarray, target: n
     np.clip(z, -LIMIT, LIMIT, out=z)
     g = np.exp(z, out=z)
     share = (use / max(1, use.sum())).astype(g.dtype)
-    g *= (share / (g @ np.ones(OUT, g.dtype)))[:, None]
-    g[np.arange(len(flat)), np.maximum(flat, 0)] -= share
-    out = {"wc": h2.T @ g, "bc": g.sum(axis=0)}
+    mass = g @ np.ones(OUT, g.dtype)
+    g.ravel()[np.arange(0, g.size, OUT) + np.maximum(flat, 0)] -= mass
+    share = (share / mass)[:, None]  # of each row, which its narrower factors take
+    both = _over_rows(h2 * share, g)
+    out = {"wc": both[:DIM], "bc": both[DIM]}
     d2 = g @ p["wc"].T
-    out["w2"] = r.T @ d2
-    dr = (d2 @ p["w2"].T) * (r > 0)
-    out["w1"], out["b1"] = h1.T @ dr, dr.sum(axis=0)
+    d2 *= share
+    out["w2"] = _over_rows(r, d2)
+    dr = d2 @ p["w2"].T
+    dr *= r > 0
+    both = _over_rows(h1, dr)
+    out["w1"], out["b1"] = both[:DIM], both[DIM]
     d1 = d2 + dr @ p["w1"].T
-    out["out"] = o.T @ d1
+    out["out"] = _over_rows(o, d1)
     do1 = np.empty((len(own), DIM + 1), h0.dtype)  # of the unnormalised sums
     np.divide(d1 @ p["out"].T, total, out=do1[:, :DIM])
     np.einsum("ij,ij->i", do1[:, :DIM], o, out=do1[:, DIM])
     np.negative(do1[:, DIM], out=do1[:, DIM])
     do1 = do1.reshape(w, SPAN, DIM + 1)
-    dv = a.transpose(0, 2, 1) @ do1[..., :DIM]  # what falls to no word is dropped below
-    ds = do1 @ v1.transpose(0, 2, 1)
+    dkv = np.empty((w, T, 2 * DIM), h0.dtype)
+    np.matmul(a.transpose(0, 2, 1), do1[..., :DIM], out=dkv[..., DIM:])  # what falls to no word is dropped below
+    ds = do1 @ np.ascontiguousarray(v1.transpose(0, 2, 1))
     ds *= a
     scale = h0.dtype.type(DIM**-0.5)
-    dq = (ds @ k.transpose(0, 2, 1)).reshape(-1, DIM)
-    dk = ds.transpose(0, 2, 1) @ q.reshape(w, SPAN, DIM)
-    out["far"] = np.bincount(_BACK[_SEEN], weights=ds.sum(axis=0)[_SEEN], minlength=T).astype(h0.dtype)
-    out["q"] = own.T @ dq * scale
-    dk, dv, every = dk.reshape(-1, DIM), dv.reshape(-1, DIM), h0.reshape(-1, DIM)
-    out["kv"] = np.concatenate([every.T @ dk, every.T @ dv], axis=1)
-    d0 = dk @ p["kv"][:, :DIM].T
-    d0 += dv @ p["kv"][:, DIM:].T
-    d0 = d0.reshape(h0.shape)
-    d0[:, CONTEXT:] += (d1 + dq @ p["q"].T * scale).reshape(w, SPAN, DIM)
+    dq = (ds @ np.ascontiguousarray(k.transpose(0, 2, 1))).reshape(-1, DIM)
+    np.matmul(ds.transpose(0, 2, 1), q.reshape(w, SPAN, DIM), out=dkv[..., :DIM])
+    out["far"] = np.bincount(_FAR, weights=ds.sum(axis=0)[_SEEN], minlength=T).astype(h0.dtype)
+    out["q"] = _over_rows(own, dq) * scale
+    dkv = dkv.reshape(-1, 2 * DIM)
+    out["kv"] = _over_rows(h0.reshape(-1, DIM), dkv)
+    d0 = (dkv @ p["kv"].T).reshape(h0.shape)
+    d0[:, CONTEXT:] += (d1 + dq @ (p["q"].T * scale)).reshape(w, SPAN, DIM)
     place = win.ravel()
     of_word = summed(place + 1, d0.reshape(-1, DIM), len(words.first) + 1)[1:]
     rows = {}
@@ -184,15 +223,14 @@ class Adam:
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
 
     def step(self, words: Words, win: np.ndarray, target: np.ndarray) -> None:
-        here, at = np.unique(win, return_inverse=True)
-        none = int(len(here) > 0 and here[0] < 0)
-        dense, rows = gradients(self.p, words.take(here[none:]), at.reshape(win.shape) - none, target)
+        here, win = words.within(win)
+        dense, rows = gradients(self.p, here, win, target)
         self.t += 1
         self.seen += len(win)
         rate = np.float32(self.rate / (1 - 0.9**self.t))
         upto = np.float32(1 / (1 - 0.99**self.t))
         for k, g, at in [(k, g, ...) for k, g in dense.items()] + [(k, g, row) for k, (row, g) in rows.items()]:
-            m, s = self.m[k][at], self.s[k][at]
+            m, s = (self.m[k], self.s[k]) if at is ... else (self.m[k].take(at, axis=0), self.s[k].take(at, axis=0))
             m = m + np.float32(0.1) * (g - m)
             s = s + np.float32(0.01) * (g * g - s)
             self.m[k][at], self.s[k][at] = m, s
@@ -217,12 +255,12 @@ def window_words(seq: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndar
     place = at[:, None] + np.arange(-CONTEXT, SPAN)
     inside = (place >= 0) & (place <= n[doc][:, None])
     flat = np.where(inside, first[doc][:, None] + place, 0)
-    win = np.where(inside, seq[flat], -1)
+    win = np.where(inside, seq.take(flat), -1)
     q = flat[:, CONTEXT:]
     use = inside[:, CONTEXT:]
     last = place[:, CONTEXT:] == n[doc][:, None]
     nxt = np.minimum(q + 1, len(seq) - 1)
-    goal = np.where(use, np.where(last, end, target[nxt]), -1)
+    goal = np.where(use, np.where(last, end, target.take(nxt)), -1)
     return win, goal, q
 
 
@@ -234,8 +272,8 @@ def score_places(p: dict[str, np.ndarray], words: Words, seq: np.ndarray, first:
     out = np.zeros(len(seq))
     for i in range(0, len(doc), BATCH):
         win, goal, q = window_words(seq, first, n, doc[i : i + BATCH], at[i : i + BATCH], target, CLASSES)
-        z, _ = forward(p, table[win], (win >= 0).astype(np.float32), far)
+        z, _ = forward(p, table.take(win, axis=0, mode="wrap"), (win >= 0).astype(np.float32), far)
         goal = goal.ravel()
         use = np.flatnonzero(goal >= 0)
-        out[q.ravel()[use]] = log_probs(z[use], goal[use])
+        out[q.ravel()[use]] = log_probs(z, np.maximum(goal, 0))[use]
     return out / math.log(10)

@@ -315,6 +315,33 @@ def clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.
     return best
 
 
+class Places:
+    """Where hashes stand, or would, among sorted ones: their top bits lead next to it."""
+
+    def __init__(self, h: np.ndarray):
+        self.n, self.h = len(h), np.r_[h, ~np.uint64(0)]
+        bits = max(1, self.n.bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(h >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, which of the hashes are there); a place is less than 1 or the number of hashes."""
+        at = self.start.take((x >> self.shift).view(np.int64))
+        todo = np.flatnonzero(self.h.take(at) < x)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.h.take(at[todo]) < x[todo]]
+        hit = (self.h.take(at) == x) & (at < self.n)
+        return np.minimum(at, max(self.n - 1, 0)), hit
+
+
+def _code(key: np.ndarray) -> np.ndarray:
+    return mix64(key.view(np.uint64))
+
+
 class Vocabulary:
     """Classes of the ids, what is counted by class, and how words are spelled."""
 
@@ -345,9 +372,10 @@ class Vocabulary:
         # what follows an id within a word; ``end`` is the word's end
         key, count = pairs
         key, count = key.astype(np.int64), count.astype(float)
-        o = np.argsort(key)
-        self.pair, count = key[o], count[o]
-        prev = self.pair // (end + 1)
+        o = np.argsort(_code(key))
+        key, count = key[o], count[o]
+        self.pair = Places(_code(key))
+        prev = key // (end + 1)
         own = (after + 0.05) / (after.sum() + 0.05 * (end + 1))
         kept = (count - 0.5) / np.maximum(before[prev], 1)
         if kinds is None:
@@ -356,7 +384,7 @@ class Vocabulary:
             left = np.where(before > 0, 0.5 * kinds / np.maximum(before, 1), 1.0)
         self.before = before
         self.log_after, self.log_left = np.log10(own), np.log10(np.maximum(left, 1e-12))
-        self.log_pair = np.log10(kept + np.maximum(left, 1e-12)[prev] * own[self.pair % (end + 1)])
+        self.log_pair = np.log10(kept + np.maximum(left, 1e-12)[prev] * own[key % (end + 1)])
         # rows of the attention model's tables
         order = np.lexsort((np.arange(end), -n))
         room = net.ROWS - net.CLASSES
@@ -388,9 +416,7 @@ class Vocabulary:
 
     def missing(self, key: np.ndarray) -> np.ndarray:
         """Which pairs aren't in the table."""
-        if not len(self.pair):
-            return np.ones(len(key), bool)
-        return self.pair[np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)] != key
+        return ~self.pair.find(_code(key))[1]
 
     def more(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
         """What counted pairs that aren't in the table have above `without`."""
@@ -404,8 +430,8 @@ class Vocabulary:
         key = self.keys(flat, last)
         got = self.without(key)
         if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            got = np.where(self.pair[at] == key, self.log_pair[at], got)
+            at, hit = self.pair.find(_code(key))
+            got = np.where(hit, self.log_pair.take(at), got)
         upto = np.r_[0.0, np.cumsum(got, dtype=np.float64)]
         apart = np.where(extra > 0, math.log10(OTHER) - extra * math.log10(257), math.log10(1 - OTHER))
         return self.log_first[flat[last + 1 - size]] + upto[last + 1] - upto[last + 1 - size] + apart
@@ -560,6 +586,7 @@ def _of_heavy(heavy: np.ndarray):
 
 
 def _score(n_parts: int, p: dict, voc: Vocabulary, heavy: np.ndarray, heavy_n: np.ndarray, heavy_more: np.ndarray):
+    heavy = Places(heavy)
     base_n = np.log10(heavy_n + 1.0)
     with np.errstate(divide="ignore"):
         known_n = np.log10(heavy_n - voc.d)
@@ -582,8 +609,7 @@ def _score(n_parts: int, p: dict, voc: Vocabulary, heavy: np.ndarray, heavy_n: n
         after = np.cumsum(path)
         of_doc = after[begin + n] - after[begin] + path[begin]  # all words' classes and the end
         spell = voc.spelled(flat, size, extra)  # without rare pairs
-        at = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
-        hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
+        at, hit = heavy.find(h)
         base, own = np.zeros(len(h)), np.zeros(len(h))
         base[hit] = base_n[at[hit]]
         spell[hit] += heavy_more[at[hit]]

@@ -164,7 +164,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS, np.uint8))
+#: closing marks: those of ASCII but what contractions and the tokenizer's own marks have
+_MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~", np.uint8))
 
 
 class HashedEncoder(WordEncoder):
@@ -236,13 +237,18 @@ class HashedEncoder(WordEncoder):
 
     def _learn_at(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> None:
         """Ids of new words at these places, which ascend.  A letter before closing marks parts them, as in `_learn`."""
+        inside = np.zeros(len(data) + 1, np.int8)  # the words alone, one after the other: most of the texts is known
+        inside[s] += 1
+        inside[e] -= 1
+        data = data[np.cumsum(inside[:-1], dtype=np.int8, out=inside[:-1]).view(bool)]
+        n = e - s
+        e = np.cumsum(n)
+        s = e - n
         begun = self.n
-        stop = e.copy()
-        todo = np.arange(len(s) if self.marks else 0)
-        while len(todo):
-            todo = todo[_MARK[data[stop[todo] - 1]]]
-            stop[todo] -= 1
-            todo = todo[stop[todo] > s[todo]]
+        stop = e
+        if self.marks:
+            stop = np.where(_MARK[data], 0, np.arange(1, len(data) + 1, dtype=np.int32))
+            stop = np.maximum(np.maximum.accumulate(stop)[e - 1], s)
         joined = np.flatnonzero((stop < e) & (stop > s) & _LETTER[data[stop - 1]])
         self._add(h)
         sides = []

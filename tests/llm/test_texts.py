@@ -182,6 +182,71 @@ def test_hashed_encoder_is_the_word_encoder():
             assert (len(w), op6.same_spelling([w])[0]) == (new.bytes.a[y], new.plain.a[y]), w
 
 
+def test_hashed_encoder_parts_words_at_all_closing_marks():
+    from tokenizers import Tokenizer
+
+    from tessarine.llm.words import HashedEncoder
+
+    r = random.Random(6)
+    ends = [r.choice("aZ") + "".join(r.choices([chr(c), ".", "<", "|", ">", "'"], k=r.randint(1, 4))) for c in range(33, 127) for _ in range(30)]
+    words = ["a###", "b'##", "c<|endoftext|>", "<|endoftext|>d&&", "e|>", "f<|endoftext|>..", "x's))", "g\u0338=", "h=\u0338"]
+    words += ["".join(chr(c) for c in r.choices(range(33, 127), k=r.randint(0, 5))) + x for x in ends]
+    text, tok, enc = " ".join(words).encode(), Tokenizer.from_file(default_path()), HashedEncoder(default_path(), op6.same_spelling)
+    for w, n in zip(words, enc.numbers(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]):
+        assert enc.ids.a[enc.start.a[n] :][: enc.size.a[n]].tolist() == tok.encode(w.encode().lower().decode(), add_special_tokens=False).ids, w
+    alone, whole = [], enc._encode
+    enc._encode = lambda fresh, *a: alone.extend(fresh) or whole(fresh, *a)
+    text = b"neww### neww### newx&&.. newx***"
+    enc.numbers(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert set(alone) <= {b"###", b"&&..", b"***"}  # only the marks
+
+
+def test_lm_words_of_windows_come_once():
+    r = np.random.default_rng(7)
+    size = r.integers(0, 4, 50)
+    words = net.Words(r.integers(0, 90, 50), np.arange(size.sum()), size)
+    for win in (r.integers(-1, 50, (6, net.T)), np.full((2, net.T), -1), np.zeros((0, net.T), int), np.full((1, net.T), 49)):
+        here, at = words.within(win)
+        assert ((at < 0) == (win < 0)).all() and len(here.first) == len(np.unique(win[win >= 0]))
+        assert (here.first[at[win >= 0]] == words.first[win[win >= 0]]).all() and (here.size[at[win >= 0]] == size[win[win >= 0]]).all()
+        assert np.sort(here.rest).tolist() == np.sort(words.take(np.unique(win[win >= 0])).rest).tolist()
+
+
+def test_hashed_encoder_hashes_known_text_once(monkeypatch):
+    from tessarine.llm import words
+
+    raw = " ".join(f"word{i}, and more." for i in range(2000)).encode()
+    enc, spans, whole = words.HashedEncoder(default_path(), op6.same_spelling), [], words.word_hashes
+
+    def numbers(text):
+        return enc.numbers(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+    old = numbers(raw)
+    monkeypatch.setattr(words, "word_hashes", lambda data, s, e: spans.append(int(e[-1] - s[0]) if len(s) else 0) or whole(data, s, e))
+    assert (numbers(b"newone. " + raw + b" newtwo!")[1:-1] == old).all()
+    assert sum(spans) < 1.1 * len(raw)
+
+
+def test_lm_places_are_those_of_a_binary_search():
+    top, r = 2**64 - 1, np.random.default_rng(4)
+    for h in ([], [0], [top], [0, 1, top - 1, top], range(2**40, 2**40 + 300), r.integers(0, 2**64, 5000, dtype=np.uint64)):
+        h = np.unique(np.array(h, np.uint64))
+        x = np.r_[h, h + np.uint64(1), h - np.uint64(1), r.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, top], np.uint64)]
+        at, hit = op6.Places(h).find(x)
+        assert len(op6.Places(h)) == len(h) and (hit == np.isin(x, h)).all()
+        assert (at == np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))).all()
+
+
+def test_lm_word_vectors_are_sums_however_many_ids_they_have():
+    r = np.random.default_rng(5)
+    p, size = net.initial(np.full(net.OUT, -4.0)), np.array([0, 1, net.FEW, net.FEW + 1, 0, 300, 2, 0])
+    first, rest = r.integers(0, net.ROWS, len(size)), r.integers(0, net.ROWS, size.sum())
+    for n in (len(size), 3, 1, 0):
+        words = net.Words(first, rest, size).take(np.arange(n))
+        want = [p["first"][f] + p["rest"][rest[e - k : e]].sum(axis=0) for f, k, e in zip(first[:n], size, np.cumsum(size))]
+        assert np.allclose(words.vectors(p), np.reshape(want, (n, net.DIM)), atol=1e-4)
+
+
 def test_lm_cells_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
     import pyarrow.parquet as pq
 
