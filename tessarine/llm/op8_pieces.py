@@ -3,15 +3,16 @@
 Three transducers are compiled from a model file (read without any library):
 the normaliser (dummy prefix, spaces to U+2581), the lexicon (a trie of pieces,
 each arc path weighing minus the piece's score) and the byte fallback (a
-character that no piece ends with costs its UTF-8 bytes).  Their composition
-with a text is searched position by position in the tropical semiring.
+character that no piece ends with costs its UTF-8 bytes).
 
-In a unigram model the cheapest path is the encoding.  In a BPE model it isn't:
-merges go by rank, not by sums.  There the lexicon is composed with one
-transducer more, which lets piece b follow piece a only if merging a + b gives
-back a, b.  A sequence all of whose neighbours pass is the merge result, so one
-path is left and the shortest path finds it; tests hold the ids against the
-public library's.
+In a unigram model the cheapest path is the encoding: the composition with a
+text is searched position by position in the tropical semiring.  In a BPE model
+it isn't: merges go by rank, not by sums.  There the lexicon is composed with
+one transducer more, which lets piece b follow piece a only if merging a + b
+gives back a, b.  A sequence all of whose neighbours pass is the merge result,
+so one path is left, whatever it weighs: it is searched from the front, the
+longest piece first, and no place is left twice with the same piece.  Tests
+hold the ids against the public library's.
 
 Texts are cut where no piece can span (before a space that follows a letter,
 around characters of no piece), and each different unit is searched once per
@@ -103,11 +104,11 @@ class Transducer:
         self.score = {p: m.scores[i] for p, i in self.index.items()}
         self.unknown = m.kinds.index(UNKNOWN) if UNKNOWN in m.kinds else 0
         self.byte = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k == BYTE}
-        # the lexicon read backwards: arcs of a trie, final states hold the piece
+        # the lexicon, backwards but for BPE: arcs of a trie, final states hold the piece
         self.trie: dict = {}
         for p in self.index:
             node = self.trie
-            for c in reversed(p):
+            for c in p if m.bpe else reversed(p):
                 node = node.setdefault(c, {})
             node[""] = p
         letters = {c for p in self.index for c in p}
@@ -145,15 +146,13 @@ class Transducer:
         return got
 
     def shortest(self, unit: str) -> list[str]:
-        """Pieces (and characters without one) on the cheapest path through a unit.
-
-        A state is a place and the last piece; only BPE needs to tell pieces
-        at one place apart.
-        """
-        bpe, score, trie, pairs = self.model.bpe, self.score, self.trie, self.pairs
-        states: list[dict[str, tuple]] = [{"": (0.0, None)}]
+        """Pieces (and characters without one) on the cheapest path through a unit."""
+        if self.model.bpe:
+            return self._only(unit)
+        score, trie = self.score, self.trie
+        states: list[tuple[float, str]] = [(0.0, "")]
         for j in range(1, len(unit) + 1):
-            here: dict[str, tuple] = {}
+            best, last = None, ""
             node, i = trie, j
             while i:
                 node = node.get(unit[i - 1])
@@ -162,33 +161,62 @@ class Transducer:
                 i -= 1
                 piece = node.get("")
                 if piece is not None:
-                    best, weight = None, -score[piece]
-                    for last, (cost, _) in states[i].items():
-                        if bpe and i:
-                            got = pairs.get((last, piece))
-                            if not (self.may_follow(last, piece) if got is None else got):
-                                continue
-                        if best is None or cost + weight < best[0]:
-                            best = (cost + weight, last)
-                    if best is not None:
-                        here[piece] = best
+                    cost = states[i][0] - score[piece]
+                    if best is None or cost < best:
+                        best, last = cost, piece
             c = unit[j - 1]
             if c not in score:
-                self._arc(states[j - 1], here, c, 1e6, j - 1, bpe)
-            states.append(here)
+                cost = states[j - 1][0] + 1e6
+                if best is None or cost < best:
+                    best, last = cost, c
+            states.append((best, last))
         path, j = [], len(unit)
-        last = min(states[j], key=lambda p: states[j][p][0])
         while j:
-            path.append(last)
-            j, last = j - len(last), states[j][last][1]
+            path.append(states[j][1])
+            j -= len(path[-1])
         return path[::-1]
 
-    def _arc(self, before: dict, here: dict, piece: str, weight: float, at: int, bpe: bool) -> None:
-        for last, (cost, _) in before.items():
-            if bpe and at and not self.may_follow(last, piece):
-                continue
-            if piece not in here or cost + weight < here[piece][0]:
-                here[piece] = (cost + weight, last)
+    def _only(self, unit: str) -> list[str]:
+        """The path all of whose neighbours pass, by depth, the longest piece first.
+
+        ``rest`` holds the pieces not yet tried at each place of the path, ``dead``
+        the ends and pieces from which no path leads on.
+        """
+        trie, pairs, n = self.trie, self.pairs, len(unit)
+        path: list[str] = []
+        rest: list[list[str]] = []
+        dead: set[tuple[int, str]] = set()
+        at, last = 0, ""
+        while at < n:
+            node, i, found = trie, at, []
+            while i < n:
+                node = node.get(unit[i])
+                if node is None:
+                    break
+                i += 1
+                piece = node.get("")
+                if piece is not None:
+                    found.append(piece)
+            if not found or len(found[0]) > 1:
+                found.insert(0, unit[at])
+            while True:
+                while not found:
+                    dead.add((at, last))
+                    at -= len(path.pop())
+                    last = path[-1] if path else ""
+                    found = rest.pop()
+                piece = found.pop()
+                if dead and (at + len(piece), piece) in dead:
+                    continue
+                if at:
+                    got = pairs.get((last, piece))
+                    if not (self.may_follow(last, piece) if got is None else got):
+                        continue
+                break
+            path.append(piece)
+            rest.append(found)
+            at, last = at + len(piece), piece
+        return path
 
     def unit_ids(self, unit: str) -> list[int]:
         out: list[int] = []

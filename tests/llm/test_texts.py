@@ -3,10 +3,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +379,48 @@ def test_pieces_are_the_librarys():
         assert enc.fst.decode(flat[s:e]) == sp.decode(sp.encode(t)) == t.replace("▁", " ")
 
 
+def _piece_model(path, pieces: dict[str, float], bpe: bool) -> str:
+    def message(field: int, body: bytes) -> bytes:
+        return bytes([field << 3 | 2, len(body)]) + body
+
+    parts = [message(1, message(1, p.encode()) + b"\x15" + struct.pack("<f", w) + bytes([24, kind])) for p, w, kind in [("<unk>", 0.0, 2), *((p, w, 1) for p, w in pieces.items())]]
+    path.write_bytes(b"".join(parts) + message(2, bytes([24, 2 if bpe else 1])) + message(3, bytes([24, 0, 32, 0])))
+    return str(path)
+
+
+def test_piece_paths(tmp_path):
+    """Merges by the definition, cheapest paths by brute force, over made-up models."""
+    r = random.Random(8)
+    for _ in range(60):
+        made = ["a", "b", "c"]
+        while len(made) < 10:
+            made = list(dict.fromkeys([*made, r.choice(made) + r.choice(made)]))
+        merges = op8.Transducer(_piece_model(tmp_path / "m", {p: -float(i) for i, p in enumerate(made)}, True))
+        costs = {p: -float(r.randint(1, 1000)) for p in made}
+        sums = op8.Transducer(_piece_model(tmp_path / "m", costs, False))
+        for _ in range(20):
+            unit = "".join(r.choice("abcabcabcd") for _ in range(r.randint(1, 9)))
+            assert merges.shortest(unit) == merges.merged(unit), (made, unit)
+            ways = [[unit[x:y] for x, y in itertools.pairwise((0, *cut, len(unit)))] for k in range(len(unit)) for cut in itertools.combinations(range(1, len(unit)), k)]
+            cost = {tuple(w): sum(1e6 if p == "d" else -costs[p] for p in w) for w in ways if all(p == "d" or p in costs for p in w)}
+            got = sums.shortest(unit)
+            assert "".join(got) == unit and cost[tuple(got)] == min(cost.values()), (costs, unit)
+
+
+def test_piece_search_tries_few_pairs():
+    class Counted(dict):
+        tried = 0
+
+        def get(self, key, default=None):
+            Counted.tried += 1
+            return super().get(key, default)
+
+    fst = op8.Transducer(default_path("piece_bpe_32k.model"))
+    fst.pairs = Counted()
+    found = sum(len(fst.shortest(u)) for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() for u in fst.units.findall(fst.normalise(t or "")))
+    assert 0 < Counted.tried < 2 * found
+
+
 def test_piece_columns(spark):
     df = spark.createDataFrame([(1, "a b", "k"), (2, None, None), (3, "", "")], "doc_id long, text string, piece_ids string")
     got = {r.doc_id: r for r in op8.decode_column(op8.encode_column(df)).collect()}
