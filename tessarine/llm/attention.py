@@ -59,25 +59,65 @@ def restore(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+_PLACES = np.arange(2 * ROWS * DIM).reshape(-1, DIM)
+
+
 def summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of x by their places in 0 .. n - 1."""
-    d = x.shape[1]
-    got = np.bincount((at[:, None] * d + np.arange(d)).ravel(), weights=x.ravel(), minlength=n * d)
-    return got.reshape(n, d).astype(x.dtype)
+    """Sums of the rows of x, of DIM numbers, by their places in 0 .. n - 1."""
+    got = np.zeros(n * DIM)
+    place = _PLACES.take(at, axis=0) if n <= len(_PLACES) else at[:, None] * DIM + np.arange(DIM)
+    np.add.at(got, place.ravel(), x.astype(np.float64).ravel())
+    return got.reshape(n, DIM).astype(x.dtype)
+
+
+def by_row(row: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows of a table of n, sums of the rows of x that are theirs)."""
+    lut, nth = np.empty(n, np.int64), np.arange(len(row))
+    lut[row] = nth  # one of a row's places stands for it
+    here = row[lut.take(row) == nth]
+    lut[here] = nth[: len(here)]
+    return here, summed(lut.take(row), x, len(here))
+
+
+def falling(size: np.ndarray) -> np.ndarray:
+    """The order of words from long to short."""
+    return np.argsort(65535 - np.minimum(size, 65535).astype(np.uint16), kind="stable")
 
 
 class Words:
-    """The words of a batch of windows: rows of first ids, of other ids, and how many of those."""
+    """The words of a batch of windows: rows of first ids, and where in ``ids`` the others' rows begin and how many they are."""
 
-    def __init__(self, first: np.ndarray, rest: np.ndarray, size: np.ndarray):
-        self.first, self.rest, self.size = first, rest, size
-        self.upto = np.cumsum(size) - size
+    def __init__(self, first: np.ndarray, ids: np.ndarray, size: np.ndarray, upto: np.ndarray | None = None):
+        self.first, self.ids, self.size = first, ids, size
+        self.upto = np.cumsum(size) - size if upto is None else upto
         self.lut: np.ndarray | None = None
+        self.layers: list[tuple[slice | np.ndarray, np.ndarray]] | None = None
+
+    @property
+    def rest(self) -> np.ndarray:
+        return self.ids[self._from(np.arange(len(self.size)), 0)[1]]
+
+    def _from(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words, places in ids) of all further ids of these words but the first k of each."""
+        n = self.size[at] - k
+        return np.repeat(at, n), np.repeat(self.upto[at] + k - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
     def take(self, pick: np.ndarray) -> "Words":
-        n = self.size[pick]
-        at = np.repeat(self.upto[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return Words(self.first[pick], self.rest[at], n)
+        return Words(self.first[pick], self.ids, self.size[pick], self.upto[pick])
+
+    def further(self) -> list[tuple[slice | np.ndarray, np.ndarray]]:
+        """(words, rows) of their first further ids, their second ones and so on up to FEW, then of all others."""
+        if self.layers is None:
+            most = int(self.size.max(initial=0))
+            long_first = bool((self.size[1:] <= self.size[:-1]).all())
+            self.layers = []
+            for k in range(min(FEW, most)):
+                at = slice(0, int(np.count_nonzero(self.size > k))) if long_first else np.flatnonzero(self.size > k)
+                self.layers.append((at, self.ids.take(self.upto[at] + k)))
+            if most > FEW:
+                at, place = self._from(np.flatnonzero(self.size > FEW), FEW)
+                self.layers.append((at, self.ids.take(place)))
+        return self.layers
 
     def within(self, win: np.ndarray) -> tuple["Words", np.ndarray]:
         """(the different words of windows, each once; the windows' places in these)."""
@@ -87,20 +127,19 @@ class Words:
         self.lut[flat] = nth  # one of a word's places stands for it
         here = flat[self.lut.take(flat, mode="wrap") == nth]
         here = here[here >= 0]
+        here = here[falling(self.size[here])]
         self.lut[here] = nth[: len(here)]
         self.lut[-1] = -1
         return self.take(here), self.lut.take(win, mode="wrap")
 
     def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
         out = p["first"].take(self.first, axis=0)
-        for k in range(min(FEW, int(self.size.max(initial=0)))):
-            at = np.flatnonzero(self.size > k)
-            out[at] += p["rest"].take(self.rest[self.upto[at] + k], axis=0)
-        at = np.flatnonzero(self.size > FEW)
-        if len(at):
-            n = self.size[at] - FEW
-            more = np.repeat(self.upto[at] + FEW - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out[at] += summed(np.repeat(np.arange(len(at)), n), p["rest"].take(self.rest[more], axis=0), len(at))
+        for k, (at, row) in enumerate(self.further()):
+            if k < FEW:
+                out[at] += p["rest"].take(row, axis=0)
+            else:
+                here = np.flatnonzero(self.size > FEW)
+                out[here] += summed(np.searchsorted(here, at), p["rest"].take(row, axis=0), len(here))
         return out
 
 
@@ -123,16 +162,37 @@ def forward(p: dict[str, np.ndarray], h0: np.ndarray, real: np.ndarray, far: np.
     v1[..., :DIM] = kv[:, DIM:].reshape(w, T, DIM)
     v1[..., DIM] = real  # the others are 0 already where no word is
     k = np.ascontiguousarray(kv[:, :DIM].reshape(w, T, DIM).transpose(0, 2, 1))
-    own = np.ascontiguousarray(h0[:, CONTEXT:]).reshape(-1, DIM)
-    q = own @ (p["q"] * h0.dtype.type(DIM**-0.5))
-    a = q.reshape(w, SPAN, DIM) @ k
+    return _attend(p, np.ascontiguousarray(h0[:, CONTEXT:]).reshape(-1, DIM), k, v1, far)
+
+
+def forward_along(p: dict[str, np.ndarray], h: np.ndarray, real: np.ndarray, far: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The logits of neighbouring windows, whose places follow each other after CONTEXT others; opens: which windows begin a text."""
+    w = len(opens)
+    kv = h @ p["kv"]
+    v1 = np.empty((len(h), DIM + 1), h.dtype)
+    v1[:, :DIM] = kv[:, DIM:]
+    v1[:, DIM] = real
+
+    def seen(x: np.ndarray) -> np.ndarray:
+        row, col = x.strides
+        return np.lib.stride_tricks.as_strided(x, (w, T, x.shape[1]), (SPAN * row, row, col), writeable=False)
+
+    k = np.ascontiguousarray(seen(kv[:, :DIM]).transpose(0, 2, 1))
+    return _attend(p, h[CONTEXT:], k, seen(v1), far, opens)[0]
+
+
+def _attend(p: dict[str, np.ndarray], own: np.ndarray, k: np.ndarray, v1: np.ndarray, far: np.ndarray, opens: np.ndarray | None = None):
+    q = own @ (p["q"] * own.dtype.type(DIM**-0.5))
+    a = q.reshape(-1, SPAN, DIM) @ k
     a += far
     np.clip(a, -np.inf, LIMIT, out=a)
     np.exp(a, out=a)
+    if opens is not None:
+        a[opens, :, :CONTEXT] = 0  # the places before are another text's
     o1 = (a @ v1).reshape(-1, DIM + 1)
-    total = np.maximum(o1[:, DIM:], h0.dtype.type(1e-30))
+    total = np.maximum(o1[:, DIM:], own.dtype.type(1e-30))
     o = o1[:, :DIM] / total
-    h1, h2 = _and_one(len(own), h0.dtype), _and_one(len(own), h0.dtype)
+    h1, h2 = _and_one(len(own), own.dtype), _and_one(len(own), own.dtype)
     np.add(own, o @ p["out"], out=h1[:, :DIM])
     r = h1 @ np.concatenate([p["w1"], p["b1"][None]])
     np.clip(r, 0, np.inf, out=r)
@@ -204,23 +264,26 @@ def gradients(p: dict[str, np.ndarray], words: Words, win: np.ndarray, target: n
     d0[:, CONTEXT:] += (d1 + dq @ (p["q"].T * scale)).reshape(w, SPAN, DIM)
     place = win.ravel()
     of_word = summed(place + 1, d0.reshape(-1, DIM), len(words.first) + 1)[1:]
-    rows = {}
-    for name, row, d in (("first", words.first, of_word), ("rest", words.rest, np.repeat(of_word, words.size, axis=0))):
-        got = summed(row, d, SHAPES[name][0])
-        used = np.zeros(len(got), bool)
-        used[row] = True
-        at = np.flatnonzero(used)
-        rows[name] = (at, got[at])
-    return out, rows
+    more = words.further()
+    rest = np.concatenate([row for _, row in more]) if more else words.ids[:0]
+    of_rest = np.concatenate([of_word[at] for at, _ in more]) if more else of_word[:0]
+    return out, {"first": by_row(words.first, of_word, len(p["first"])), "rest": by_row(rest, of_rest, len(p["rest"]))}
 
 
 class Adam:
     """One shard's training: the tables' rows are only touched where a batch has them."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.t, self.seen = {k: v.copy() for k, v in p.items()}, rate, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.rate, self.t, self.seen = rate, 0, 0
+        # all but the tables are one vector, which their arrays are views of
+        self.names = [k for k in SHAPES if k not in ("first", "rest")]
+        flat, at = np.concatenate([p[k].ravel() for k in self.names]), 0
+        self.p = {k: p[k].copy() for k in ("first", "rest")} | {"": flat}
+        for k in self.names:
+            self.p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+        self.m = {k: np.zeros_like(self.p[k]) for k in ("first", "rest", "")}
+        self.s = {k: np.zeros_like(self.p[k]) for k in ("first", "rest", "")}
 
     def step(self, words: Words, win: np.ndarray, target: np.ndarray) -> None:
         here, win = words.within(win)
@@ -229,7 +292,7 @@ class Adam:
         self.seen += len(win)
         rate = np.float32(self.rate / (1 - 0.9**self.t))
         upto = np.float32(1 / (1 - 0.99**self.t))
-        for k, g, at in [(k, g, ...) for k, g in dense.items()] + [(k, g, row) for k, (row, g) in rows.items()]:
+        for k, (at, g) in (rows | {"": (..., np.concatenate([dense[k].ravel() for k in self.names]))}).items():
             m, s = (self.m[k], self.s[k]) if at is ... else (self.m[k].take(at, axis=0), self.s[k].take(at, axis=0))
             m = m + np.float32(0.1) * (g - m)
             s = s + np.float32(0.01) * (g * g - s)
@@ -268,12 +331,20 @@ def score_places(p: dict[str, np.ndarray], words: Words, seq: np.ndarray, first:
     """log10 P(class of what follows) at each place of seq."""
     table = np.concatenate([words.vectors(p), np.zeros((1, DIM), p["q"].dtype)])
     far = bias(p)
-    doc, at = windows(n)
-    out = np.zeros(len(seq))
-    for i in range(0, len(doc), BATCH):
-        win, goal, q = window_words(seq, first, n, doc[i : i + BATCH], at[i : i + BATCH], target, CLASSES)
-        z, _ = forward(p, table.take(win, axis=0, mode="wrap"), (win >= 0).astype(np.float32), far)
-        goal = goal.ravel()
-        use = np.flatnonzero(goal >= 0)
-        out[q.ravel()[use]] = log_probs(z, np.maximum(goal, 0))[use]
-    return out / math.log(10)
+    _, at = windows(n)
+    opens = at == 0
+    # each text fills up its last window: windows are neighbours, and look back over the places before
+    begin = np.flatnonzero(opens) * SPAN
+    place = np.arange(len(seq)) + np.repeat(begin - first, n + 1)
+    laid = np.full(CONTEXT + len(at) * SPAN, -1)
+    laid[CONTEXT + place] = seq
+    goal = np.zeros(len(at) * SPAN, np.int64)
+    goal[place] = np.r_[target[1:], CLASSES] if len(seq) else target
+    goal[begin + n] = CLASSES
+    got = np.empty(len(goal), p["q"].dtype)
+    for i in range(0, len(at), BATCH):
+        j = min(i + BATCH, len(at))
+        here = laid[i * SPAN : CONTEXT + j * SPAN]
+        z = forward_along(p, table.take(here, axis=0, mode="wrap"), here >= 0, far, opens[i:j])
+        got[i * SPAN : j * SPAN] = log_probs(z, goal[i * SPAN : j * SPAN])
+    return got[place].astype(np.float64) / math.log(10)

@@ -88,10 +88,15 @@ def _small(x: np.ndarray) -> np.ndarray:
 def same_spelling(words: list[bytes]) -> np.ndarray:
     """Which lower-cased words are what their ids spell (others share ids with another word)."""
     out = np.ones(len(words), bool)
-    for i, w in enumerate(words):
-        if not w.isascii():
-            t = w.decode("utf-8", "replace")
-            out[i] = unicodedata.normalize("NFC", t).lower() == t and len(t.split()) == 1 and t == t.strip() and "\ufffd" not in t
+    odd = [i for i, w in enumerate(words) if not w.isascii()]
+    for i in range(0, len(odd), 256):
+        part = odd[i : i + 256]
+        lines = b"\n".join([words[x] for x in part]).decode("utf-8", "replace")
+        if lines.split() == lines.split("\n") and unicodedata.is_normalized("NFC", lines) and lines.lower() == lines and "\ufffd" not in lines:
+            continue
+        for x in part:
+            t = words[x].decode("utf-8", "replace")
+            out[x] = unicodedata.normalize("NFC", t).lower() == t and len(t.split()) == 1 and t == t.strip() and "\ufffd" not in t
     return out
 
 
@@ -110,6 +115,7 @@ def _encode(path: str, odd: int):
                 here = np.zeros(enc.n, bool)
                 here[numbers] = True
                 uniq = np.flatnonzero(here)
+                uniq = uniq[net.falling(enc.size.a[uniq])]  # which `net.Words` sums quickest
                 lut = np.zeros(enc.n, np.int32)
                 lut[uniq] = np.arange(len(uniq))
                 seq = lut[numbers]
@@ -138,27 +144,25 @@ def _signs(size: int) -> np.ndarray:
     return (np.random.default_rng(66).integers(0, 2, (size + 1, 2 * SIGNS)) * 2 - 1).astype(np.int8)
 
 
-def company(first: np.ndarray, n: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """For each word of the texts, the summed signs of the words in its block of its text and of the word before it."""
+def company(first: np.ndarray, n: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different words of the texts, for each the sum over its places of the signs of the other words in its block of its text, and of the word before)."""
     size = len(signs) - 1
     place = np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-    s = np.flatnonzero(place % BLOCK == 0)
-    mine = signs[first, :SIGNS]
-    block = np.add.reduceat(mine, s, axis=0)  # within +-BLOCK
-    out = np.empty((len(first), 2 * SIGNS), np.int8)
-    np.subtract(np.repeat(block, np.diff(np.r_[s, len(first)]), axis=0), mine, out=out[:, :SIGNS])
+    start = place % BLOCK == 0
+    block = np.add.reduceat(signs[first, :SIGNS], np.flatnonzero(start), axis=0)  # within +-BLOCK
     before = np.full(len(first), size)
     before[1:] = first[:-1]
     before[place == 0] = size
-    out[:, SIGNS:] = signs[before, SIGNS:]
-    return out
-
-
-def by_id(ids: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different ids, sums of the rows of each)."""
-    o = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
-    s = runs(ids[o])
-    return ids[o][s], np.add.reduceat(who[o], s, axis=0, dtype=np.int32)
+    o = np.argsort(first.astype(np.uint16) if size <= 1 << 16 else first, kind="stable")
+    s = runs(first[o])
+    who = first[o][s]
+    times = np.diff(np.r_[s, len(o)])[:, None]
+    both = np.empty((len(o), 2 * SIGNS), np.int8)
+    both[:, :SIGNS] = block.take((np.cumsum(start) - 1)[o], axis=0)
+    both[:, SIGNS:] = np.ascontiguousarray(signs[:, SIGNS:]).take(before[o], axis=0)
+    sums = np.add.reduceat(both, s, axis=0, dtype=np.int32)
+    sums[:, :SIGNS] -= times * signs[who, :SIGNS]
+    return who, sums
 
 
 def _count(n_parts: int, end: int):
@@ -191,7 +195,7 @@ def _count(n_parts: int, end: int):
                 docs += len(n)
                 ids = first[seq]
                 if len(ids):
-                    at, sums = by_id(ids, company(ids, n, signs))
+                    at, sums = company(ids, n, signs)
                     near[at] += sums
                 if size > 2_000_000:
                     yield from _rows(flush(held, pairs))

@@ -249,6 +249,81 @@ def test_lm_word_vectors_are_sums_however_many_ids_they_have():
         assert np.allclose(words.vectors(p), np.reshape(want, (n, net.DIM)), atol=1e-4)
 
 
+def test_hashed_encoder_parts_words_after_other_latin_letters():
+    from tokenizers import Tokenizer
+
+    from tessarine.llm.words import HashedEncoder
+
+    tok, enc = Tokenizer.from_file(default_path()), HashedEncoder(default_path(), op6.same_spelling)
+    r = random.Random(8)
+    words = [stem + chr(c) + mark for c in range(0xA1, 0x260) for stem in ("", "ab", "e\u0301", "9") for mark in (".", "&&&", "=.", "'s")] + ["e\u0301.", "\u0958.", "x\u0130..", "\u0938\u094d!"]
+    words += ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(1, 14))) for _ in range(3000)]
+    text = " ".join(words).encode()
+    for w, n in zip(words, enc.numbers(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]):
+        if w.split() == [w]:
+            assert enc.ids.a[enc.start.a[n] :][: enc.size.a[n]].tolist() == tok.encode(w.encode().lower().decode(), add_special_tokens=False).ids, w
+    alone, whole = [], enc._encode
+    enc._encode = lambda fresh, *a: alone.extend(fresh) or whole(fresh, *a)
+    text = "neu\u00e9### neu\u00e9... neu\u00e9".encode()
+    enc.numbers(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert set(alone) == {"neu\u00e9".encode(), b"###", b"..."}  # the word once, and the marks
+
+
+def test_same_spelling_in_blocks_is_that_of_each_word():
+    words = [x.encode() for x in ["\u00e9", "\u00c9", "e\u0301", "\u0958", "a\u00a0b", "\u2003", "\u03c3\u03c2", "\u00df", "\u1e9e", "a"]] + [b"\xe2\x82", b"\xc3"]
+    want = [True, False, False, False, False, False, True, True, False, True, False, False]
+    assert [bool(op6.same_spelling([w])[0]) for w in words] == want
+    for x, ok in zip(words, want):  # each in a block of words that are spelled as they are
+        assert op6.same_spelling(["\u00f6".encode()] * 300 + [x] + ["\u00f1".encode()] * 300).tolist() == [True] * 300 + [ok] + [True] * 300
+
+
+def test_lm_sums_of_rows_by_brute_force():
+    r = np.random.default_rng(2)
+    for n, top in ((0, 5), (1, 1), (700, 90), (5000, net.ROWS + 1), (300, 3 * net.ROWS)):
+        row, x = r.integers(0, top, n), r.standard_normal((n, net.DIM)).astype(np.float32)
+        want = np.zeros((top, net.DIM))
+        np.add.at(want, row, x.astype(np.float64))
+        assert np.array_equal(net.summed(row, x, top), want.astype(np.float32))
+        at, got = net.by_row(row, x, top)
+        assert sorted(at.tolist()) == np.unique(row).tolist() and np.array_equal(got, want[at].astype(np.float32))
+
+
+def test_lm_company_by_brute_force():
+    r, n = np.random.default_rng(3), np.array([0, 1, 2, op6.BLOCK, op6.BLOCK + 1, 0, 300])
+    for end in (40, 70000):
+        signs, first = op6._signs(end + 1), r.integers(0, end + 1, n.sum())
+        want = np.zeros((end + 1, 2 * op6.SIGNS), np.int64)
+        for e, k in zip(np.cumsum(n), n):
+            text = first[e - k : e]
+            for i, w in enumerate(text):
+                block = text[i - i % op6.BLOCK :][: op6.BLOCK]
+                want[w, : op6.SIGNS] += signs[block, : op6.SIGNS].sum(axis=0) - signs[w, : op6.SIGNS]
+                want[w, op6.SIGNS :] += signs[text[i - 1] if i else end + 1, op6.SIGNS :]
+        who, sums = op6.company(first, n, signs)
+        assert who.tolist() == np.unique(first).tolist() and (sums == want[who]).all()
+
+
+def test_lm_scores_neighbouring_windows_as_each_alone(monkeypatch):
+    r, n = np.random.default_rng(4), np.array([0, 5, net.SPAN - 1, net.SPAN, 0, 2 * net.SPAN - 1, 1000, 3])
+    p = {k: (r.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in net.initial(np.full(net.OUT, -4.0)).items()}
+    size = r.integers(0, 9, 60)
+    words = net.Words(np.r_[r.integers(0, 50, 60), net.ROWS], r.integers(0, 50, size.sum()), np.r_[size, 0])
+    cls = np.r_[r.integers(0, net.CLASSES, 60), 0]
+    seq, first = op6._with_starts(r.integers(0, 60, n.sum()), n, 60)
+    monkeypatch.setattr(net, "BATCH", 7)
+    rows, whole = [], net.forward_along
+    monkeypatch.setattr(net, "forward_along", lambda p, h, *a: rows.append(len(h)) or whole(p, h, *a))
+    got = net.score_places(p, words, seq, first, n, cls[seq])
+    doc, at = net.windows(n)
+    assert sum(rows) == len(doc) * net.SPAN + len(rows) * net.CONTEXT  # the places before are read once a batch, not once a window
+    table = np.concatenate([words.vectors(p), np.zeros((1, net.DIM), np.float32)])
+    for i in range(len(doc)):
+        win, goal, q = net.window_words(seq, first, n, doc[i : i + 1], at[i : i + 1], cls[seq], net.CLASSES)
+        z, _ = net.forward(p, table[win], (win >= 0).astype(np.float32), net.bias(p))
+        use = goal[0] >= 0
+        assert np.allclose(got[q[0][use]], (net.log_probs(z, np.maximum(goal[0], 0)) / np.log(10))[use], atol=1e-5)
+
+
 def test_lm_cells_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
     import pyarrow.parquet as pq
 
