@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, dot, idf, unit
 from ..runtime import broadcast_if_small
-
-K1, B = 1.5, 0.75
-RRF = 60
+from .blocks import K1, RRF, B, Bm25
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -56,6 +54,12 @@ def top(scores: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
     return ranked(scores, id_col=id_col).where(F.col("rank") <= k)
 
 
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6, batch: Bm25 | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): each query's k best by rounded score, without a row for every pair of query and document."""
+    batch = batch or Bm25(docs, query_terms(queries))
+    return top(batch.top(k, digits) if batch.held else bm25(docs, queries).withColumn("score", F.round("score", digits)), k)
+
+
 def dense(docs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, doc_id, score): cosine of every pair of query and document.
 
