@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, dot, idf, unit
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, materialize
 from .blocks import K1, RRF, B, Bm25
 
 
@@ -81,6 +81,22 @@ def rrf_fuse(rankings: Sequence[DataFrame]) -> DataFrame:
     return every.groupBy("query_id", "doc_id").agg(F.sum(1 / (RRF + F.col("rank"))).alias("score"))
 
 
+#: queries whose marked rows the driver holds
+FUSED_QUERIES = 4096
+
+
+def rrf_by_age(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score): the k best of two fused rankings of a query's hits, by rounded score, and by a numeric id, the smallest first.
+
+    Scores are unrounded and rows more than k; ``top`` ends it.
+    """
+    batch = Bm25(docs, query_terms(queries))
+    if batch.held and len(batch.asked.ids) <= FUSED_QUERIES:
+        return batch.fused(k, digits)
+    s = materialize(bm25(docs, queries).withColumn("score", F.round("score", digits)), "scores")
+    return rrf_fuse([ranked(s), ranked(s, -F.col("doc_id"))])
+
+
 def expand(scores: DataFrame, edges: DataFrame, decay: float = 0.35, hops: int = 1) -> DataFrame:
     """Neighbours over undirected ``calls`` gain decay * the best positive neighbour's score."""
     calls = edges.where("kind = 'calls'").select("src", "dst")
