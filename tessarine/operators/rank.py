@@ -54,10 +54,23 @@ def top(scores: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
     return ranked(scores, id_col=id_col).where(F.col("rank") <= k)
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6, batch: Bm25 | None = None) -> DataFrame:
+def bm25_pooled(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(query_id, doc_id, score) where all texts of one id are one document."""
+    tf = materialize(postings(docs, id_col, text_col), "postings")
+    dl = docs.select(F.col(id_col).alias("doc_id")).distinct().join(tf.groupBy("doc_id").agg(F.sum("tf").alias("s")), "doc_id", "left").select("doc_id", F.greatest(F.lit(1), F.coalesce("s", F.lit(0))).alias("dl"))
+    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    w = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return tf.join(query_terms(queries), "term").join(df, "term").join(dl, "doc_id").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * w).alias("score"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6, id_col: str = "doc_id", pooled: bool = False, batch: Bm25 | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): each query's k best by rounded score, without a row for every pair of query and document."""
-    batch = batch or Bm25(docs, query_terms(queries))
-    return top(batch.top(k, digits) if batch.held else bm25(docs, queries).withColumn("score", F.round("score", digits)), k)
+    batch = batch or Bm25(docs, query_terms(queries), id_col, pooled=pooled)
+    if batch.held:
+        return top(batch.top(k, digits), k)
+    every = bm25_pooled(docs, queries, id_col) if pooled else bm25(docs, queries, id_col)
+    return top(every.withColumn("score", F.round("score", digits)), k)
 
 
 def dense(docs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
