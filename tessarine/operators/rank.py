@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, dot, idf, unit
 from ..runtime import broadcast_if_small, materialize
-from .blocks import K1, RRF, B, Bm25
+from .blocks import K1, RRF, B, Bm25, dense_best
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -86,6 +86,30 @@ def dense(docs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     return pairs.select("q.query_id", "doc_id", dot(F.col("u"), F.col("q.v")).alias("score"))
 
 
+def dense_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, doc_id, score, rank): each query's k best by rounded cosine, as of every pair, which none keeps.
+
+    Work grows with queries times documents.  Vectors that have gaps, odd
+    numbers or another length than most queries meet the rest as joined tables.
+    """
+    q = materialize(queries.select("query_id", unit(F.col("vector")).alias("v")), "queries")
+    usual = q.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    big = F.lit(float("inf"))
+
+    def marked(rows: DataFrame, v: str) -> DataFrame:
+        whole = F.forall(v, lambda x: F.coalesce((x < big) & (x > -big), F.lit(False)))
+        return rows.withColumn("plain", F.coalesce((F.size(v) == (usual.w if usual else 0)) & (F.size(v) > 0) & whole, F.lit(False)))
+
+    shares = 4 * docs.sparkSession.sparkContext.defaultParallelism  # of the work, which doesn't follow the size of the table
+    d = docs.repartition(shares).select(F.col(id_col).alias("doc_id"), unit(F.col(vec_col)).alias("u"))
+    d, q = materialize(marked(d, "u"), "vectors"), marked(q, "v")
+    best = dense_best(d.where("plain"), q.where("plain"), k, digits)
+    for some_d, some_q in ((d.where("not plain"), q), (d.where("plain"), q.where("not plain"))):
+        if not some_d.isEmpty() and not some_q.isEmpty():
+            best = best.unionByName(some_d.crossJoin(some_q).select("query_id", "doc_id", dot(F.col("u"), F.col("v")).alias("score")))
+    return top(best.withColumn("score", F.round("score", digits)), k)
+
+
 def rrf_fuse(rankings: Sequence[DataFrame]) -> DataFrame:
     """Reciprocal ranks of (query_id, doc_id, rank) tables, summed."""
     every = rankings[0].select("query_id", "doc_id", "rank")
