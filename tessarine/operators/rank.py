@@ -188,10 +188,26 @@ def strong_match(scores: DataFrame) -> DataFrame:
     return scores.withColumn("strong_match", F.col("score") >= 0.5 * F.max("score").over(Window.partitionBy("query_id")))
 
 
+def ir_metrics_by_label(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """``ir_metrics`` where every other row of the query's label is relevant: (query_id, label) and (doc_id, label) tables.
+
+    Only pairs among the hits are looked at; a query counts if its label has a row of another id.
+    """
+    q, d = queries.select("query_id", "label").distinct(), docs.select("doc_id", "label")
+    near = hits.where(F.col("rank") <= k).join(d, "doc_id").join(q, ["query_id", "label"]).where(F.col("query_id") != F.col("doc_id"))
+    ids = d.groupBy("label").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
+    asked = q.join(broadcast_if_small(ids), "label").where((F.col("a") != F.col("query_id")) | (F.col("z") != F.col("query_id"))).select("query_id").distinct()
+    return _metrics(asked, near.groupBy("query_id").agg(F.min("rank").alias("r")))
+
+
 def ir_metrics(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """Hit rate, MRR and precision at 1 of ranked (query_id, doc_id, rank) tables."""
     first = hits.where(F.col("rank") <= k).join(relevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("r"))
-    every = relevant.select("query_id").distinct().join(first, "query_id", "left")
+    return _metrics(relevant.select("query_id").distinct(), first)
+
+
+def _metrics(asked: DataFrame, first: DataFrame) -> DataFrame:
+    every = asked.join(first, "query_id", "left")
     return every.agg(F.count("*").alias("n_queries"), F.avg(F.col("r").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce((F.col("r") == 1).cast("double"), F.lit(0.0))).alias("p_at_1"))
 
 
