@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..runtime import ship
 from .chunk import FIELDS, SCHEMA
@@ -167,18 +170,39 @@ def index_report(parsed: DataFrame) -> dict[str, int]:
     return {"considered": sum(got.values())} | got
 
 
-def chunk_texts(docs: DataFrame, id_col: str, text_col: str, suffix: str) -> DataFrame:
-    """Every text of a table chunked as a file of one extension; the guards of a source tree don't apply."""
-    ship(docs.sparkSession)
+#: characters of chunks that a worker holds before it hands them on
+HELD_CHARS = 4_000_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _chunked(suffix: str, kinds: pa.Schema):
+    """(id, text) -> the named fields of all chunks, HELD_CHARS and a text's chunks at most in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .route import parse_text
 
+        names = kinds.names[1:]
+        cols, held = [[] for _ in kinds], 0
         for b in batches:
-            rows = []
-            for i, text in zip(b.id, b.text):
-                for k, c in enumerate(parse_text(f"{i}{suffix}", text or "")):
-                    rows.append((k, *(c[f] for f in FIELDS)))
-            yield pd.DataFrame(rows, columns=["chunk_ord", *FIELDS])
-
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+            for i, text in zip(b.column(0), b.column(1)):
+                chunks = parse_text(f"{i.as_py()}{suffix}", text.as_py() or "")
+                cols[0] += range(len(chunks))
+                for col, f in zip(cols[1:], names):
+                    col += [c[f] for c in chunks]
+                held += 200 * len(chunks) + (sum(len(c["source"]) for c in chunks) if "source" in names else 0)
+                if held > HELD_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds)], schema=kinds)
+                    cols, held = [[] for _ in kinds], 0
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds)], schema=kinds)
+
+    return run
+
+
+def chunk_texts(docs: DataFrame, id_col: str, text_col: str, suffix: str, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Every text of a table chunked as a file of one extension; the guards of a source tree don't apply.
+
+    Only the ``fields`` asked for leave the workers, a few texts' chunks at a time.
+    """
+    ship(docs.sparkSession)
+    schema = StructType([f for f in _parse_datatype_string(SCHEMA) if f.name == "chunk_ord" or f.name in fields])
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(_chunked(suffix, to_arrow_schema(schema)), schema)
