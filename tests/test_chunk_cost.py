@@ -56,3 +56,18 @@ def test_masks_look_at_marks_alone():
     began = time.process_time()
     mask("plain words " * 400_000)
     assert time.process_time() - began < 1
+
+
+def test_compression_cuts_each_line_into_tokens_twice_at_most(monkeypatch):
+    r = random.Random(4)
+    lines = [" ".join(r.choices(["the", "reader", "aB", "x_y", "façade", "= 1", "return", "{", "}", "n"], k=40)) for _ in range(60)]
+    calls, plain = [], slicing.tokens
+
+    def counted(text):
+        calls.append(text)
+        return plain(text)
+
+    monkeypatch.setattr(slicing, "tokens", counted)
+    monkeypatch.setattr(context, "tokens", counted)
+    got = context.compress("\n".join(lines), "the reader of x", 200, "text")
+    assert got["compressed_tokens"] < got["original_tokens"] and len(calls) <= 2 * len(lines) + 1
